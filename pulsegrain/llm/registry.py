@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_bpe, suffix_decontam
+from . import line_crf, line_runs, sentencepiece_bpe, suffix_decontam
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, never copied here.
@@ -22,5 +22,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.digest(suffix_decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op5_sentencepiece": op5_sentencepiece, "op6_decontamination": op6_decontamination}
-ORACLE_SQL: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(line_runs.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_decontamination": op6_decontamination,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_runs.ORACLE_SQL}
