@@ -124,8 +124,8 @@ class Chain:
     def scores(self, features: np.ndarray) -> np.ndarray:
         return self.emit[features].sum(axis=1) + self.bias
 
-    def fit(self, docs: list[tuple[int, np.ndarray]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> Chain:
-        """Maximum likelihood by forward-backward over all sample documents at once."""
+    def fit(self, docs: list[tuple[int, np.ndarray]], prior: float = 0.5, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> Chain:
+        """Maximum likelihood by forward-backward over all sample documents at once; prior: share of good documents."""
         docs = [(y, f) for y, f in docs if len(f)]
         if len({y for y, _ in docs}) < 2:
             return self
@@ -135,7 +135,7 @@ class Chain:
         doc = np.repeat(np.arange(len(docs)), length)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
         label = np.array([y for y, _ in docs])
-        share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) / length  # each label and document weighs alike
+        share = np.where(label == 1, prior / max(1, (label == 1).sum()), (1 - prior) / max(1, (label == 0).sum())) / length  # documents of a label weigh alike
         live = np.arange(longest)[None, :] < length[:, None]
         momentum = [np.zeros_like(self.emit), 0.0, np.zeros((2, 2))]
         for _ in range(rounds):
@@ -207,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_ch
         part = labels.where(F.col("quality") == value).select(F.col(id_column).alias("_id"), F.lit(value).alias("_y")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = [(r["_id"], r["_y"]) for r in chosen.collect()]
-    if not rows:
+    seen = {r["quality"]: r["count"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
+    if len(seen) < 2:
         return Chain()
     picked = F.broadcast(docs.sparkSession.createDataFrame(rows, f"_id {docs.schema[id_column].dataType.simpleString()}, _y int"))
     sample = docs.where(F.length(text_column).between(1, sample_chars)).join(picked, F.col(id_column) == F.col("_id")).select("_y", text_column)
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_ch
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_y", "features"])
 
     got = map_batches(sample, ["_y", text_column], "_y int, features binary", run).collect()
-    return Chain().fit([(r["_y"], np.frombuffer(bytes(r["features"]), np.int16).reshape(-1, len(BINS))) for r in sorted(got, key=lambda r: (r["_y"], bytes(r["features"])))])
+    return Chain().fit([(r["_y"], np.frombuffer(bytes(r["features"]), np.int16).reshape(-1, len(BINS))) for r in sorted(got, key=lambda r: (r["_y"], bytes(r["features"])))], seen[1] / (seen[0] + seen[1]))
 
 
 def judge(docs: DataFrame, chain: Chain, min_words: int = 50, max_repeat_percent: int = 50, min_share: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -5,14 +5,22 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_crf, line_runs, sentencepiece_bpe, suffix_decontam
+from . import line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, never copied here.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil_toxicity.train(docs, table(spark, sf_dir, "labels").where(~mil_toxicity.held_out()))
+    scored = mil_toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(mil_toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_offending", "worst_sentence")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece_bpe.model_file(f"{TOKENIZERS}/piece_bpe_32k.model")
     return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model)
@@ -32,6 +40,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op9_quality_rules": op9_quality_rules,
