@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or.
 
-A document is a bag of sentences.  Each sentence has a logistic score over its distinct hashed words,
-and a document is toxic with probability 1 - prod(1 - p(sentence)).  The word weights are trained
+A document is a bag of sentences.  Each sentence has a logistic score over its distinct hashed words
+and word beginnings, so that unseen forms of an offending word count as well, and a document is toxic with probability 1 - prod(1 - p(sentence)).  The word weights are trained
 through the noisy-or from document labels alone, so that the same weights then say which sentences
 offend (`sentence_scores`).
 
@@ -21,26 +21,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_text, map_batches
-from .textkit import LOWER, NON_WORD, blocks, row_of, span_hashes, spans
+from .textkit import LOWER, NON_WORD, blocks, mix, row_of, span_hashes, spans
 
 BITS = 20  #: words are hashed to this many bits
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".!?\n"]] = True
+PREFIXES = (4, 6)  #: bytes of word beginnings that are features too; shorter words have none
 FOLD = 60  #: training rounds
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Hashed words, their rows, and the number of their sentence among all sentences with a word."""
+    """Hashed words and beginnings, their rows, and the number of their sentence among all sentences with a word."""
     lower = LOWER[data]
     starts, ends, firsts = spans(lower, offsets, NON_WORD)
-    bins = (span_hashes(lower, starts, ends) >> np.uint64(64 - BITS)).astype(np.int32)
+    shift = np.uint64(64 - BITS)
+    bins = [(span_hashes(lower, starts, ends) >> shift).astype(np.int32)]
+    owner = [np.arange(len(starts))]
+    for size in PREFIXES:
+        at = np.flatnonzero(ends - starts > size)
+        bins.append((mix(span_hashes(lower, starts[at], starts[at] + size) + np.uint64(size)) >> shift).astype(np.int32))
+        owner.append(at)
     rows = row_of(firsts)
     breaks = np.zeros(len(data) + 1, np.int32)
     np.cumsum(BREAK[data], out=breaks[1:], dtype=np.int32)
     cut = np.ones(len(starts), bool)
     if len(starts) > 1:
         cut[1:] = (breaks[starts[1:]] != breaks[starts[:-1]]) | (rows[1:] != rows[:-1])
-    return {"bins": bins, "rows": rows, "starts": starts, "ends": ends, "sentence": np.cumsum(cut) - 1, "first": np.flatnonzero(cut)}
+    sentence = np.cumsum(cut) - 1
+    return {"bins": np.concatenate(bins), "sentence": sentence[np.concatenate(owner)], "rows": rows, "starts": starts, "ends": ends, "first": np.flatnonzero(cut)}
 
 
 def _distinct(bins: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +117,7 @@ def fit(bags: list[tuple[int, np.ndarray]], prior: float, rounds: int = FOLD, ra
     return Model(full, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, sample_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Fits the model on at most 2 x sample_docs labelled documents, chosen by a hash of their id."""
     valid = labels.where(F.col("toxic").isin(0, 1) & F.col(id_column).isNotNull())
     seen = {r["toxic"]: r["count"] for r in valid.groupBy("toxic").count().collect()}
@@ -127,9 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, sample_ch
         out = []
         for _, _, data, offsets in blocks(batch.column(1)):
             found = sentences(data, offsets)
-            flat = np.insert(found["bins"], found["first"], -1)
-            cuts = np.searchsorted(found["rows"], np.arange(len(offsets)))
-            cuts = cuts + np.searchsorted(found["first"], cuts)
+            b, where = _distinct(found["bins"], found["sentence"])
+            first = np.searchsorted(where, np.arange(len(found["first"])))
+            flat = np.insert(b, first, -1)
+            done = np.searchsorted(found["rows"][found["first"]], np.arange(len(offsets)))  # sentences before each row
+            cuts = np.r_[first, len(b)][done] + done
             out += [flat[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(offsets) - 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_y", "bag"])
 
