@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam
+from . import bloom_lm, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, never copied here.
@@ -30,6 +30,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.digest(suffix_decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
