@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, disclosure_pii, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam
+from . import bloom_lm, count_rtree, disclosure_pii, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, never copied here.
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(mil_toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_offending", "worst_sentence")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rtree.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure_pii.digest(disclosure_pii.find(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_pii": op4_pii,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
