@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrain.runtime import ship
+
 from .common import map_batches
 from .textkit import SPACE, _class, blocks, gram_hashes, mix, row_of, span_hashes, spans
 
@@ -249,3 +251,22 @@ def judge(docs: DataFrame, chain: Chain, min_words: int = 50, max_repeat_percent
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(whole[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(whole["share"].astype(float)), pa.array(kept)], [id_column, *counts, "base_failed", "content_share", "kept"])
 
     return map_batches(docs, [id_column, text_column], schema, run)
+
+
+def keep(docs: DataFrame, chain: Chain, min_words: int = 50, max_repeat_percent: int = 50, min_share: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows that judge() keeps, with all their columns; decided row by row, so that ids may repeat."""
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index(text_column))):
+                found = analyse(data, offsets)
+                n = len(offsets) - 1
+                state = chain.viterbi(chain.scores(found["features"]), np.searchsorted(found["line_row"], np.arange(n + 1)))
+                share = np.bincount(found["line_row"], weights=found["line_words"] * state, minlength=n) / np.maximum(found["n_words"], 1)
+                failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > max_repeat_percent * found["n_words"])
+                good.append(~failed & (share >= min_share))
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, count_rtree, disclosure_pii, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam
+from . import bloom_lm, count_rtree, disclosure_pii, html_extraction, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam, url_templates
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, never copied here.
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(mil_toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_offending", "worst_sentence")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rtree.classify(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_decontam.digest(suffix_decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.main_text(pages, html_extraction.train(pages))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"))
 
@@ -53,10 +62,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filters": op2_url_filters,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_pii": op4_pii,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
