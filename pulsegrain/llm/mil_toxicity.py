@@ -84,16 +84,23 @@ def fit(bags: list[tuple[int, np.ndarray]], prior: float, rounds: int = FOLD, ra
     labels = np.array([y for y, _ in bags])
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BITS), 0.0, prior)
-    flat = np.concatenate([b for _, b in bags])
-    doc_of = np.repeat(np.arange(len(bags)), [len(b) for _, b in bags])
-    sentence = np.cumsum(flat < 0) - 1
-    doc = doc_of[flat < 0]
-    bins, where = _distinct(flat[flat >= 0], sentence[flat >= 0])
-    pairs = np.unique((doc[where] << BITS) | bins)
-    common = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= min_docs
-    use = common[bins]
-    names, column = np.unique(bins[use], return_inverse=True)
-    where, count = where[use], len(doc)
+    held = np.zeros(1 << BITS, np.int32)  # documents with each feature
+    for _, b in bags:
+        held[np.unique(b[b >= 0])] += 1
+    common = held >= min_docs
+    names = np.flatnonzero(common)
+    column_of = np.cumsum(common, dtype=np.int32) - 1
+    columns, wheres, docs_of, count = [], [], [], 0
+    for k, (_, b) in enumerate(bags):
+        feature = b >= 0
+        sentence = np.cumsum(~feature, dtype=np.int32) - 1 + count
+        feature[feature] = common[b[feature]]
+        columns.append(column_of[b[feature]])
+        wheres.append(sentence[feature])
+        docs_of.append(np.full(int((b < 0).sum()), k, np.int32))
+        count += len(docs_of[-1])
+    column, where, doc = np.concatenate(columns), np.concatenate(wheres), np.concatenate(docs_of)
+    del columns, wheres, docs_of
     share = np.where(labels == 1, prior / (labels == 1).sum(), (1 - prior) / (labels == 0).sum())
     weights, bias = np.zeros(len(names)), -6.0
     m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
@@ -117,7 +124,7 @@ def fit(bags: list[tuple[int, np.ndarray]], prior: float, rounds: int = FOLD, ra
     return Model(full, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, sample_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Fits the model on at most 2 x sample_docs labelled documents, chosen by a hash of their id."""
     valid = labels.where(F.col("toxic").isin(0, 1) & F.col(id_column).isNotNull())
     seen = {r["toxic"]: r["count"] for r in valid.groupBy("toxic").count().collect()}
@@ -143,8 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 8000, sample_ch
             out += [flat[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(offsets) - 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_y", "bag"])
 
-    got = sorted(((r["_y"], bytes(r["bag"])) for r in map_batches(sample, ["_y", text_column], "_y int, bag binary", run).collect()))
-    return fit([(y, np.frombuffer(b, np.int32)) for y, b in got if b], prior)
+    bags = [(r["_y"], np.frombuffer(bytes(r["bag"]), np.int32)) for r in map_batches(sample, ["_y", text_column], "_y int, bag binary", run).toLocalIterator() if r["bag"]]
+    bags.sort(key=lambda x: (x[0], x[1].tobytes()))
+    return fit(bags, prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
