@@ -66,7 +66,9 @@ def count_ngrams(docs: DataFrame, buckets: int, text_column: str = "text") -> Da
             both[UNI].append(words)
             both[BI].append(bigrams(words, firsts))
         for kind, parts in enumerate(both):
-            values, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            joined = np.concatenate(parts) if parts else None
+            parts.clear()
+            values, counts = np.unique(joined, return_counts=True) if joined is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield _packed(kind, values, counts, buckets)
 
     packed = map_batches(docs, [text_column], "kind int, bucket int, h binary, c binary", pack)
@@ -117,7 +119,7 @@ class Filter:
         seed = mix(np.array([kind * 64 + level], np.uint64))[0]
         x = mix(keys ^ seed)
         for k in range(self.HASHES):
-            yield (x >> np.uint64(32 * k)) & np.uint64(self.slice_bits - 1)
+            yield (((x >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF)) * np.uint64(self.slice_bits)) >> np.uint64(32)
 
     def slice_of(self, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(64 - int(math.log2(self.slices))) if self.slices > 1 else np.zeros(len(keys), np.uint64)
@@ -155,12 +157,11 @@ def estimate(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 0.75 * np.exp2(levels) - 0.5 * (levels == 1), 0.0)
 
 
-def build_filter(counted: DataFrame, buckets: int, max_bytes: int, entry_bits: int = 10) -> Filter:
+def build_filter(counted: DataFrame, buckets: int, max_bytes: int, entry_bits: int = 8) -> Filter:
     """Slices are built per bucket on the executors; the driver only lays them side by side."""
     entries = counted.agg(F.sum("entries")).first()[0] or 0
-    bits = 1 << max(16, math.ceil(math.log2(max(1, entries) * entry_bits)))
     slices = min(buckets, 1 << 10)
-    whole = Filter(slices, max(8, min(bits, max_bytes * 8) // slices))
+    whole = Filter(slices, max(64, min(entries * entry_bits, max_bytes * 8) // slices // 8 * 8))
     merge = buckets // slices
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
