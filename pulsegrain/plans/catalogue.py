@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import q_sequence, q_state
+
+MODULES = [q_state, q_sequence]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
 FLAGSHIP = "trend_dashboard"
