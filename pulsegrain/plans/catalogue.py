@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_sequence, q_state
+from . import q_sequence, q_state, q_windows
 
-MODULES = [q_state, q_sequence]
+MODULES = [q_state, q_sequence, q_windows]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _module in MODULES:

@@ -107,12 +107,12 @@ def af_episode_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT event_id, last_value(a IGNORE NULLS) OVER v AS trailing_mean, last_value(b IGNORE NULLS) OVER v AS trailing_min, last_value(c IGNORE NULLS) OVER v AS trailing_max
-FROM (SELECT m.subject_id, m.off_us, m.event_id, round(a, 6) AS a, b, c FROM m LEFT JOIN (SELECT event_id, avg(hr_bpm) OVER f AS a, min(hr_bpm) OVER f AS b, max(hr_bpm) OVER f AS c FROM m WHERE hr_bpm IS NOT NULL
+FROM (SELECT m.subject_id, m.off_us, m.event_id, round(a, 10) AS a, b, c FROM m LEFT JOIN (SELECT event_id, avg(hr_bpm) OVER f AS a, min(hr_bpm) OVER f AS b, max(hr_bpm) OVER f AS c FROM m WHERE hr_bpm IS NOT NULL
 WINDOW f AS (PARTITION BY subject_id ORDER BY off_us, event_id ROWS BETWEEN 359 PRECEDING AND CURRENT ROW)) t ON m.event_id = t.event_id)
 WINDOW v AS (PARTITION BY subject_id ORDER BY off_us, event_id)""")
 def medium_hr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = seq.trailing_stats(windows(spark, sf_dir), ["subject_id"], ORDER, "hr_bpm", 360)
-    return found.select("event_id", F.round("trailing_mean", 6).alias("trailing_mean"), "trailing_min", "trailing_max")
+    return found.select("event_id", F.round("trailing_mean", 10).alias("trailing_mean"), "trailing_min", "trailing_max")
 
 
 @query(f"""SELECT event_id, n // 360 AS snapshot FROM (SELECT *, row_number() OVER {_W} - 1 AS n, count(*) OVER (PARTITION BY subject_id) AS t FROM m) WHERE n % 360 = 359 OR n = t - 1""")
