@@ -75,7 +75,7 @@ def hr_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT subject_id, recording_id, sum(st) OVER (PARTITION BY subject_id ORDER BY recording_id)::BIGINT AS offset_us
 FROM (SELECT *, greatest(0, coalesce(s - lag(s) OVER w, lag(d) OVER w, 0)) AS st
-FROM (SELECT subject_id, recording_id, CASE WHEN recording_id <> 2 THEN min(off_us) END AS s, max(off_us) - min(off_us) AS d FROM m GROUP BY ALL) WINDOW w AS (PARTITION BY subject_id ORDER BY recording_id))""")
+FROM (SELECT subject_id, recording_id, CASE WHEN recording_id <> 2 THEN min(off_us) END AS s, max(off_us) - min(off_us) AS d FROM m GROUP BY subject_id, recording_id) WINDOW w AS (PARTITION BY subject_id ORDER BY recording_id))""")
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = windows(spark, sf_dir).groupBy("subject_id", "recording_id").agg(F.min("off_us").alias("s"), (F.max("off_us") - F.min("off_us")).alias("d"))
     segments = segments.withColumn("s", F.when(F.col("recording_id") != 2, F.col("s")))
