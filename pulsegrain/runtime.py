@@ -23,3 +23,12 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, str(path.relative_to(root.parent)))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"{tempfile.gettempdir()}/pulsegrain-checkpoints"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
