@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, written
 
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,7 +95,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(spark, fanout=fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).drop("batch"))
-    repeated = runs.merged().where(F.col("docs") >= min_docs).select(*KEY, "last")
+    # written, so that the join's sides are plain and a line that a third of all rows hold can be split
+    repeated = written(runs.merged().where(F.col("docs") >= min_docs).select(*KEY, "last"), "line-repeated")
     gone = (
         lines.join(repeated, KEY)
         .where(F.col("doc") < F.col("last"))
