@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
 
 
 def finite(values: Column) -> Column:
@@ -21,7 +20,7 @@ def plausible(intervals: Column, low: float, high: float) -> Column:
 
 
 def total(values: Column) -> Column:
-    return F.aggregate(values, ZERO, lambda a, x: a + x)
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def mean(values: Column) -> Column:
@@ -29,7 +28,7 @@ def mean(values: Column) -> Column:
 
 
 def _squares(values: Column, centre: Column) -> Column:
-    return F.aggregate(values, ZERO, lambda a, x: a + (x - centre) * (x - centre))
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - centre) * (x - centre))
 
 
 def _let(value: Column, body) -> Column:
@@ -85,9 +84,9 @@ def delta_entropy(intervals: Column, bins: int = 16) -> Column:
         def of(p: Column) -> Column:
             counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(p, lambda x: x == b)))
             share = lambda c: c / F.size(p)
-            return F.aggregate(F.filter(counts, lambda c: c > 0), ZERO, lambda a, c: a - share(c) * F.log2(share(c))) / F.log2(F.lit(float(bins)))
+            return F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))) / F.log2(F.lit(float(bins)))
 
-        return F.when(F.size(d) == 0, None).when(high - low < 1e-6, ZERO).otherwise(_let(placed, of))
+        return F.when(F.size(d) == 0, None).when(high - low < 1e-6, F.lit(0.0)).otherwise(_let(placed, of))
 
     return _let(differences(intervals), over)
 
@@ -110,7 +109,7 @@ def poincare(intervals: Column) -> Column:
 
     def over(d: Column) -> Column:
         sd1 = std(d, 1) / F.sqrt(F.lit(2.0))
-        sd2 = F.sqrt(F.greatest(ZERO, 2 * F.pow(std(intervals, 1), F.lit(2.0)) - F.pow(std(d, 1), F.lit(2.0)) / 2))
+        sd2 = F.sqrt(F.greatest(F.lit(0.0), 2 * F.pow(std(intervals, 1), F.lit(2.0)) - F.pow(std(d, 1), F.lit(2.0)) / 2))
         return F.struct(sd1.alias("sd1"), sd2.alias("sd2"), F.try_divide(sd1, sd2).alias("ratio"))
 
     return _let(differences(intervals), over)
@@ -140,8 +139,8 @@ def quality_label(score: Column) -> Column:
 
 def weighted_quality(scores: list[tuple[Column, float]]) -> Column:
     """Weighted mean over the known scores, weights renormalised."""
-    top = sum((F.coalesce(s, F.lit(0.0)) * w for s, w in scores), ZERO)
-    return F.try_divide(top, sum((F.when(s.isNotNull(), F.lit(w)).otherwise(0.0) for s, w in scores), ZERO))
+    top = sum((F.coalesce(s, F.lit(0.0)) * w for s, w in scores), F.lit(0.0))
+    return F.try_divide(top, sum((F.when(s.isNotNull(), F.lit(w)).otherwise(0.0) for s, w in scores), F.lit(0.0)))
 
 
 def snr_proxy(values: Column) -> Column:
@@ -181,7 +180,7 @@ def decimate(values: Column, target: int, digits: int = 6) -> Column:
 
 
 def z_scores(values: Column) -> Column:
-    return _let(F.struct(mean(values).alias("m"), std(values).alias("s")), lambda t: F.transform(values, lambda x: F.coalesce(F.try_divide(x - t["m"], t["s"]), ZERO)))
+    return _let(F.struct(mean(values).alias("m"), std(values).alias("s")), lambda t: F.transform(values, lambda x: F.coalesce(F.try_divide(x - t["m"], t["s"]), F.lit(0.0))))
 
 
 def time_slice(values: Column, start_s: Column, end_s: Column, rate: Column) -> Column:

@@ -30,9 +30,10 @@ def write_lines(rows: DataFrame, path: str) -> None:
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question lines; any line that is no record is an error that names it."""
     broken = "_broken"
-    rows = spark.read.schema(QUESTION.add(broken, T.StringType())).option("columnNameOfCorruptRecord", broken).json(path)
-    bad = rows.select(broken).where(F.col(broken).isNotNull()).limit(1)
-    found = bad.collect()
+    kind = T.StructType([*QUESTION.fields, T.StructField(broken, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", kind, {"columnNameOfCorruptRecord": broken}).alias("q")).select("q.*")
+    found = rows.where(F.col(broken).isNotNull()).select(broken).limit(1).collect()
     if found:
         raise ValueError(f"not a question record: {found[0][0][:200]}")
     return rows.drop(broken)
@@ -109,4 +110,4 @@ def read_guidelines(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files as sections: file, section title, body."""
     whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
     cut = whole.select("file", F.posexplode(F.split("value", r"(?m)^##\s+")).alias("place", "part")).where("place > 0")
-    return cut.select("file", "place", F.trim(F.regexp_extract("part", r"^([^\n]*)", 1)).alias("title"), F.trim(F.regexp_extract("part", r"(?s)^[^\n]*\n(.*)$", 1)).alias("body"))
+    return cut.select("file", "place", F.trim(F.regexp_extract("part", r"^([^\n]*)", 1)).alias("title"), F.btrim(F.regexp_extract("part", r"(?s)^[^\n]*\n(.*)$", 1), F.lit(" \n\r\t")).alias("body"))
