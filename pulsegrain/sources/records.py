@@ -12,7 +12,19 @@ from pulsegrain.schema import STATE
 SAMPLE_COLUMNS = ("sample", "voltage")
 TIME_COLUMNS = ("time_ms", "timestamp_ms")
 #: Keys of phone exports in both languages, and what they hold.
-EXPORT_KEYS = {"device": "device", "设备": "device", "recorded date": "recorded_at", "记录日期": "recorded_at", "classification": "classification", "分类": "classification", "unit": "unit", "单位": "unit", "sample rate": "sample_rate", "采样率": "sample_rate", "lead": "lead", "导联": "lead"}
+EXPORT_KEYS = {
+    "设备": "device", "Device": "device",
+    "记录日期": "recorded_at", "记录时间": "recorded_at", "Recorded Date": "recorded_at", "recorded_at": "recorded_at",
+    "分类": "classification", "Classification": "classification", "Rhythm Classification": "classification",
+    "症状": "symptoms", "Symptoms": "symptoms",
+    "软件版本": "software_version", "Software Version": "software_version",
+    "姓名": "name", "Name": "name",
+    "出生日期": "birth_date", "Date of Birth": "birth_date",
+    "采样率": "sample_rate", "Sampling Rate": "sample_rate", "sampling_rate": "sample_rate",
+    "导联": "lead", "Lead": "lead", "lead_name": "lead",
+    "单位": "unit", "Unit": "unit", "Units": "unit",
+}
+MICROVOLTS = ("µv", "μv", "uv", "microvolt", "microvolts")
 
 QUESTION = T.StructType([T.StructField(n, T.StringType()) for n in ("question_id", "state_id", "template_id", "tier", "question_type", "question", "evaluation_method")] + [T.StructField("answer", T.ArrayType(T.StringType())), T.StructField("numeric_tolerance", T.DoubleType()), T.StructField("answer_set", T.ArrayType(T.StringType()))])
 
@@ -54,7 +66,10 @@ def read_contexts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_upload_table(spark: SparkSession, path: str) -> DataFrame:
-    """An uploaded table as one row: samples in order and the rate by the median time step; blank samples are skipped."""
+    """An uploaded table as one row: samples in order and the rate by the median time step.
+
+    Blank samples are skipped; times that do not increase, or by steps more than 5 % off the median, are an error.
+    """
     rows = spark.read.option("header", True).csv(path).withColumn("_n", F.monotonically_increasing_id())
     names = {c.strip().lower(): c for c in rows.columns}
     sample = next((names[c] for c in SAMPLE_COLUMNS if c in names), None)
@@ -63,10 +78,10 @@ def read_upload_table(spark: SparkSession, path: str) -> DataFrame:
     time = next((names[c] for c in TIME_COLUMNS if c in names), None)
     kept = rows.select("_n", F.col(sample).try_cast("double").alias("x"), (F.col(time) if time else F.lit(None)).try_cast("double").alias("t")).where("x IS NOT NULL")
     folded = kept.agg(F.array_sort(F.collect_list(F.struct("_n", "x", "t"))).alias("r"))
-    steps = F.filter(F.transform(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.get("r", i)["t"] - F.get("r", i - 1)["t"]), lambda d: d > 0)
+    steps = F.filter(F.transform(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.get("r", i)["t"] - F.get("r", i - 1)["t"]), lambda d: d.isNotNull())
     ordered = F.array_sort(F.when(F.size("r") > 1, steps).otherwise(F.array().cast("array<double>")))
     middle = (F.get(ordered, F.floor((F.size(ordered) - 1) / 2).cast("int")) + F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))) / 2
-    return folded.select(F.transform("r", lambda v: v["x"]).alias("signal"), F.when(F.size(ordered) > 0, 1000.0 / middle).alias("sample_rate"))
+    return folded.select(F.transform("r", lambda v: v["x"]).alias("signal"), F.when(F.size(ordered) == 0, None).when((F.array_min(ordered) <= 0) | F.exists(ordered, lambda d: F.abs(d - middle) > 1e-3 + 0.05 * middle), F.raise_error(F.lit("times must increase evenly")).cast("double")).otherwise(F.bround(1000.0 / middle)).alias("sample_rate"))
 
 
 def read_upload_document(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +97,7 @@ def read_phone_export(spark: SparkSession, path: str) -> DataFrame:
     cells = F.filter(F.transform(F.split("value", r"[,;\t]"), lambda c: F.trim(c)), lambda c: c != "")
     split = lines.select("_n", cells.alias("c")).where(F.size("c") > 0)
     number = F.get("c", F.lit(0)).try_cast("double")
-    key = F.create_map(*(F.lit(x) for kv in EXPORT_KEYS.items() for x in kv))[F.lower(F.get("c", F.lit(0)))]
+    key = F.create_map(*(F.lit(x) for kv in EXPORT_KEYS.items() for x in kv))[F.get("c", F.lit(0))]
     marked = split.select("_n", F.when(F.size("c") == 1, number).alias("x"), F.when(F.size("c") >= 2, key).alias("k"), F.get("c", F.lit(1)).alias("v"))
     folded = marked.agg(
         F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("_n", "x")))).alias("r"),
@@ -90,8 +105,9 @@ def read_phone_export(spark: SparkSession, path: str) -> DataFrame:
     )
     if folded.select(F.size("r")).first()[0] == 0:
         raise ValueError("the export holds no samples")
-    micro = F.lower(F.coalesce(F.col("metadata")["unit"], F.lit("mv"))).isin("µv", "uv", "μv", "microvolts")
-    rate = F.nullif(F.regexp_extract(F.coalesce(F.col("metadata")["sample_rate"], F.lit("")), r"([0-9.]+)", 1), F.lit("")).try_cast("double")
+    micro = F.lower(F.coalesce(F.col("metadata")["unit"], F.lit("mv"))).isin(*MICROVOLTS)
+    rate = F.nullif(F.regexp_extract(F.coalesce(F.col("metadata")["sample_rate"], F.lit("")), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    rate = F.bround(rate)
     return folded.select(F.transform("r", lambda v: F.when(micro, v["x"] / 1000).otherwise(v["x"])).alias("signal"), rate.alias("sample_rate"), "metadata")
 
 

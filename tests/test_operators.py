@@ -234,12 +234,15 @@ def test_stream_memory_drops_late_rows():
 
 
 def test_records(spark, tmp_path):
-    (tmp_path / "up.csv").write_text("time_ms,sample\n0,1.0\n4,2.0\n8,\n12,3.5\n16,1\n")
+    (tmp_path / "up.csv").write_text("time_ms,sample\n0,1.0\n4,2.0\n8,3.5\n12,1\n,\n")
     got = records.read_upload(spark, str(tmp_path / "up.csv")).first()
     assert got["signal"] == [1.0, 2.0, 3.5, 1.0] and got["sample_rate"] == 250.0
-    (tmp_path / "x.txt").write_text("Device,Watch\nUnit,µV\nSample Rate,512 Hz\n1000\n2000\n")
+    (tmp_path / "x.txt").write_text("Device,Watch\nUnit,µV\nSampling Rate,512 Hz\n1000\n2000\n")
     got = records.read_upload(spark, str(tmp_path / "x.txt")).first()
     assert got["signal"] == [1.0, 2.0] and got["sample_rate"] == 512.0 and got["metadata"]["device"] == "Watch"
+    (tmp_path / "odd.csv").write_text("timestamp_ms,Voltage\n0,1\n4,2\n20,3\n")
+    with pytest.raises(Exception, match="increase evenly"):
+        records.read_upload(spark, str(tmp_path / "odd.csv")).collect()
     with pytest.raises(ValueError):
         records.read_upload(spark, "x.bin")
     (tmp_path / "q.jsonl").write_text('{"question_id": "a", "answer": ["yes"], "answer_set": []}\nnot json\n')
