@@ -122,7 +122,7 @@ def sensitivity_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents in the order of a seeded draw."""
     drawn = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id")
-    return sm.per_stratum(drawn.withColumn("all", F.lit(1)), ["all"], 1 << 31, 42, "doc_id").select("doc_id", F.expr("row_number() OVER (PARTITION BY all ORDER BY sha2(concat('42:', doc_id), 256), doc_id)").cast("long").alias("place"))
+    return sm.ranked(drawn.withColumn("stratum", F.lit(1)), ["stratum"], 42, "doc_id").select("doc_id", F.col("_n").alias("place"))
 
 
 @query("""WITH q AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS place, count(*) OVER () AS strata FROM (SELECT DISTINCT lang FROM documents))
