@@ -15,7 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrain.functions import morphology as mo
 from pulsegrain.functions import signal as sg
+from pulsegrain.functions import text as tx
 from pulsegrain.functions import vitals as vt
 from pulsegrain.operators import rules as rl
 from pulsegrain.operators import sequence as seq
@@ -296,3 +298,55 @@ def state_build_from_ecg_record(session: Session, record_id: str, clear_existing
     kept = session.states.limit(0) if clear_existing else session.states.join(filled.select("state_id"), "state_id", "left_anti")
     session.states = kept.unionByName(filled)
     return {"state_id": f"record:{record_id}"}
+
+
+@tool
+def analyze_morphology(session: Session, record_id: str) -> dict:
+    """Wave intervals of a recording, each against its usual range."""
+    w = mo.wave_intervals(F.col("signal"), F.col("sampling_rate"))
+    flags = {"qrs": ("qrs_ms", 80, 120), "pr": ("pr_ms", 120, 200), "qtc": ("qtc_ms", 350, 450)}
+    found = _record(session, record_id).select(w.alias("w")).select("w.*", mo.findings(F.col("w")).alias("findings"), *(vt.range_flag(F.col(f"w.{c}"), low, high).alias(f"{k}_flag") for k, (c, low, high) in flags.items()))
+    return _rows(found)[0]
+
+
+@tool
+def analyze_lead_morphology(session: Session, record_id: str, leads: str = "all") -> dict:
+    """Findings of each lead of a multi-lead recording in standard order, and the growth of R over the chest leads."""
+    every = session.recordings.where(F.col("metadata")["of"] == record_id)
+    lead = F.col("metadata")["lead"]
+    known = [r[0] for r in every.select(lead).distinct().collect()]
+    wanted = [x for x in tx.LEADS if x in known] if leads == "all" else [x.strip() for x in leads.split(",")]
+    unknown = [x for x in wanted if x not in known]
+    if unknown or not wanted:
+        raise ValueError(f"unknown leads {unknown} of {record_id}; known: {sorted(known)}")
+    place = F.array_position(F.array(*(F.lit(x) for x in wanted)), lead)
+    found = every.where(lead.isin(wanted)).select(place.alias("place"), lead.alias("lead"), mo.wave_intervals(F.col("signal"), F.col("sampling_rate")).alias("w")).select("place", "lead", "w.*", mo.findings(F.col("w")).alias("findings"))
+    rows = _rows(found.orderBy("place"))
+    heights = [r.get("r_mv", 0.0) for r in rows if r["lead"] in ("V1", "V2", "V3", "V4", "V5", "V6")]
+    grown = session.spark.range(1).select(mo.r_progression(F.array(*(F.lit(float(h)) for h in heights)))).first()[0] if heights else None
+    return {"leads": rows, "r_progression": grown}
+
+
+@tool
+def assess_all_leads_quality(session: Session, record_id: str) -> dict:
+    """Quality of each lead and over all of them."""
+    every = session.recordings.where(F.col("metadata")["of"] == record_id)
+    score = vt.saturated(vt.snr_proxy(F.col("signal")), 5.0)
+    each = every.select(F.col("metadata")["lead"].alias("lead"), score.alias("score"), vt.quality_label(score).alias("quality"))
+    overall = each.agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("leads"), *(F.count_if(F.col("quality") == q).alias(q) for q in ("good", "acceptable", "poor")))
+    return {"leads": _rows(each.orderBy("lead")), "overall": _rows(overall)[0]}
+
+
+@tool
+def list_ppg_records(session: Session, limit: int = 20) -> list[dict]:
+    return list_ecg_records(session, limit)
+
+
+@tool
+def get_ppg_description(session: Session, record_id: str) -> str:
+    return get_ecg_description(session, record_id)
+
+
+@tool
+def get_ppg_metadata(session: Session, record_id: str) -> dict:
+    return get_ecg_metadata(session, record_id)
