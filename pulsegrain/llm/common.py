@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pulsegrain.runtime import ship
 
+_LIBC = ctypes.CDLL(None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,7 +34,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        delete_folder(df.sparkSession, df.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished steps: Spark deletes them once their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def map_batches(df: DataFrame, columns: list[str], schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -43,10 +66,19 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, function: Callab
                 yield out
             else:
                 yield from out
+            del batch, out
+            trim()
 
     ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives memory that is free but held back to the system; workers are reused for many tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def crc32_text(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -11,8 +11,8 @@ Spread over a cluster without losing a pair:
 2. Any two similar sets share a shingle among the first n - ceil(0.85 n) + 1 of each in one global
    order (prefix filter), so each node is dealt to the trees of those shingles only.  The order puts
    shingles that are frequent in a bounded sample last; it decides the cost, never the result.
-3. Trees with more than `STAR` nodes are first linked through one pivot, and the verified links are
-   contracted, so that a group of copies costs one link per node instead of all pairs.
+3. In trees with more than `STAR` nodes, a few rounds try one pivot on one node of every other
+   component and contract the verified links, so that a group of copies costs a few pairs per node.
 4. What is still in different components meets in the trees.  A tree of more than `BLOCK` nodes is
    dealt in blocks and joined block by block.
 5. Components are found by alternating large-star and small-star steps, each written out.
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import discard, map_batches, release, trim, written
 from .textkit import LOWER, SPACE, blocks, gram_hashes, mix, span_hashes, spans
 
-GROUPS = 32
-STAR, BLOCK, FANOUT = 8, 4096, 8
+GROUPS, FINEST = 64, 1024
+STAR, BLOCK, FANOUT, ROUNDS = 64, 4096, 8, 5
 BITMAP = 1 << 23
 
 
@@ -64,15 +64,50 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return grams, np.searchsorted(rows, np.arange(len(offsets)))
 
 
-def points(grams: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def points(grams: np.ndarray, cuts: np.ndarray, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """Upper counts per group in steps of a scale per row, both as bytes: count <= step x scale."""
     n = len(cuts) - 1
     row = np.repeat(np.arange(n), np.diff(cuts))
-    count = np.bincount(row * GROUPS + (grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+    count = np.bincount(row * groups + (grams & np.uint64(groups - 1)).astype(np.int64), minlength=n * groups).reshape(n, groups)
     scale = np.maximum(1, -(-count.max(axis=1, initial=0) // 255))
     return (-(-count // scale[:, None])).astype(np.uint8), scale.astype(np.int64)
 
 
+def fine_points(grams: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Finer points of larger sets: at least a quarter as many groups as shingles, up to FINEST."""
+    size = np.diff(cuts)
+    groups = GROUPS << np.clip(np.ceil(np.log2(np.maximum(size, 1) / (4 * GROUPS))), 0, int(np.log2(FINEST // GROUPS))).astype(int)
+    out, scales = [b""] * len(size), np.ones(len(size), np.int64)
+    for g in np.unique(groups).tolist():
+        rows = np.flatnonzero(groups == g)
+        part = grams[np.repeat(groups == g, size)]
+        vec, scale = points(part, np.r_[0, np.cumsum(size[rows])], g)
+        scales[rows] = scale
+        for r, v in zip(rows.tolist(), vec, strict=True):
+            out[r] = v.tobytes()
+    return out, scales
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Upper bound of the intersection of two points, the finer one folded onto the groups of the other."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """The leading 40 bits of sorted hashes: enough to tell the shingles of two sets apart, in five bytes each."""
+    top = grams >> np.uint64(24)
+    return (top >> np.uint64(8)).astype(np.uint32).tobytes() + top.astype(np.uint8).tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    n = data.size // 5
+    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(data, np.uint8, n, 4 * n)
+
+
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
 
@@ -82,6 +117,66 @@ def _most_shared(size_a, size_b, percent: int):
     return -(-percent * (size_a + size_b) // (100 + percent))
 
 
+def _dealt(values: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The distinct values with their counts, one packed row for each of 2 ** bits parts (map-side combine)."""
+    values, counts = np.unique(values, return_counts=True)
+    counts = counts.astype(np.uint32)
+    edges = np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+    full = np.flatnonzero(np.diff(edges))
+    cut = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(values), cut(counts)], ["part", "h", "c"])
+
+
+def _counted(least: int):
+    """Sums a part's packed rows; keeps the values counted at least so often."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("h")])
+        c = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("c")])
+        order = np.argsort(h)
+        h, c = h[order], c[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        total = np.add.reduceat(c, first)
+        keep = total >= least
+        return pa.table({"h": pa.array(h[first][keep].view(np.int64)), "c": pa.array(total[keep])})
+
+    return merge
+
+
+def _places(batch: pa.RecordBatch, names: list[str], bits: int) -> np.ndarray:
+    total = np.zeros(batch.num_rows, np.uint64)
+    for name in names:
+        total = mix(total + _column(batch, name).view(np.uint64))
+    return (total & np.uint64(bits - 1)).astype(np.int64)
+
+
+class Bitmap:
+    """A set of rows as a bit table of fixed size; more rows only mean more false answers of yes."""
+
+    def __init__(self, rows: DataFrame, names: list[str], bits: int):
+        self.names, self.bits, parts = names, bits, 64
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags, any_ = np.zeros(bits, bool), False
+            for batch in batches:
+                flags[_places(batch, names, bits)] = any_ = True
+            if any_:
+                packed = np.packbits(flags).reshape(parts, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["part", "bits"])
+
+        def merge(table: pa.Table) -> pa.Table:
+            joined = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([joined.tobytes()], pa.binary())})
+
+        self.flags = np.zeros((parts, bits // 8 // parts), np.uint8)
+        for r in rows.select(*names).mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
+            self.flags[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.flags = self.flags.ravel()
+
+    def has(self, places: np.ndarray) -> np.ndarray:
+        return (self.flags[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _frequent(docs: DataFrame, words: int, sample_docs: int, most: int, id_column: str, text_column: str) -> np.ndarray:
     """Hashes of the shingles that are most frequent in the sample, rarest first."""
     total = docs.count()
@@ -89,22 +184,11 @@ def _frequent(docs: DataFrame, words: int, sample_docs: int, most: int, id_colum
     sample = docs.where(F.pmod(F.xxhash64(id_column), F.lit(share)) == 0) if share > 1 else docs
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [shingle_sets(data, offsets, words)[0] for _, _, data, offsets in blocks(batch.column(0))]
-        values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        edges = np.searchsorted(values >> np.uint64(58), np.arange(65).astype(np.uint64))
-        full = np.flatnonzero(np.diff(edges))
-        counts = counts.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([values[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()), pa.array([counts[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())], ["part", "h", "c"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("h")])
-        c = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("c")])
-        values, where = np.unique(h, return_inverse=True)
-        counts = np.bincount(where, weights=c).astype(np.int64)
-        keep = counts >= 3
-        return pa.table({"h": pa.array(values[keep].view(np.int64)), "c": pa.array(counts[keep])})
+        for at in range(0, batch.num_rows, 2500):
+            sets = [shingle_sets(data, offsets, words)[0] for _, _, data, offsets in blocks(batch.column(0).slice(at, 2500))]
+            yield _dealt(np.concatenate(sets), 6)
 
-    found = map_batches(sample, [text_column], "part int, h binary, c binary", count).groupBy("part").applyInArrow(merge, "h long, c long")
+    found = map_batches(sample, [text_column], "part int, h binary, c binary", count).groupBy("part").applyInArrow(_counted(3), "h long, c long")
     top = found.orderBy(F.desc("c"), "h").limit(most).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
@@ -130,21 +214,21 @@ def _nodes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, id_c
             keys = grams[first]
             node = np.zeros(len(size), np.uint64)
             np.add.at(node, rows, mix(grams))
-            vec, scale = points(grams, cuts)
+            fine, fine_scale = fine_points(grams, cuts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
                     pa.array(size.astype(np.int64)),
                     pa.array(mix(node + size.astype(np.uint64)).view(np.int64)),
-                    pa.array([v.tobytes() for v in vec], pa.binary()),
-                    pa.array(scale),
+                    pa.array(fine, pa.binary()),
+                    pa.array(fine_scale),
                     pa.array([keys[key_cuts[r] : key_cuts[r + 1]].tobytes() for r in range(len(size))], pa.binary()),
-                    pa.array([grams[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(size))], pa.binary()),
+                    pa.array([_packed(grams[cuts[r] : cuts[r + 1]]) for r in range(len(size))], pa.binary()),
                 ],
-                [id_column, "size", "node", "vec", "scale", "keys", "grams"],
+                [id_column, "size", "node", "fine", "fine_scale", "keys", "grams"],
             )
 
-    return map_batches(docs, [id_column, text_column], f"{id_column} {kind}, size long, node long, vec binary, scale long, keys binary, grams binary", run)
+    return map_batches(docs, [id_column, text_column], f"{id_column} {kind}, size long, node long, fine binary, fine_scale long, keys binary, grams binary", run)
 
 
 def _column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
@@ -152,9 +236,45 @@ def _column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).to_numpy(zero_copy_only=False)
 
 
-def _points(batch: pa.RecordBatch, vec: str, scale: str) -> np.ndarray:
-    flat = b"".join(x.as_buffer().to_pybytes() for x in batch.column(vec))
-    return np.frombuffer(flat, np.uint8).reshape(-1, GROUPS).astype(np.int32) * _column(batch, scale)[:, None].astype(np.int32)
+class Points:
+    """The points of a batch: a matrix for each number of groups, and all of them folded onto GROUPS groups."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        raw, scale = [x.as_buffer().to_pybytes() for x in batch.column("fine")], _column(batch, "fine_scale").astype(np.int32)
+        self.groups = np.array([len(x) for x in raw], np.int64)
+        self.coarse = np.zeros((len(raw), GROUPS), np.int32)
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for g in np.unique(self.groups).tolist():
+            rows = np.flatnonzero(self.groups == g)
+            matrix = np.frombuffer(b"".join(raw[r] for r in rows.tolist()), np.uint8).reshape(-1, g).astype(np.int32) * scale[rows][:, None]
+            self.parts[g] = rows, matrix
+            self.coarse[rows] = self._folded(matrix, GROUPS)
+
+    @staticmethod
+    def _folded(matrix: np.ndarray, groups: int) -> np.ndarray:
+        return matrix.reshape(len(matrix), matrix.shape[1] // groups, groups).sum(axis=1)
+
+    def allowed(self, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which pairs the finest groups that both points have still allow."""
+        out = np.ones(len(a), bool)
+        shared = np.minimum(self.groups[a], self.groups[b])
+        for g in np.unique(shared).tolist():
+            if g == GROUPS:
+                continue
+            pick = np.flatnonzero(shared == g)
+            place, folded = np.full(len(self.groups), -1), []
+            need = np.zeros(len(self.groups), bool)
+            need[a[pick]] = need[b[pick]] = True
+            for size, (rows, matrix) in self.parts.items():
+                if size >= g:
+                    wanted = need[rows]
+                    place[rows[wanted]] = np.arange(int(wanted.sum())) + sum(len(x) for x in folded)
+                    folded.append(self._folded(matrix[wanted], g))
+            whole, step = np.concatenate(folded), max(1, (1 << 21) // g)
+            for k in range(0, len(pick), step):
+                part = pick[k : k + step]
+                out[part] = np.minimum(whole[place[a[part]]], whole[place[b[part]]]).sum(axis=1) >= least[part]
+        return out
 
 
 class Tree:
@@ -243,7 +363,8 @@ def _tree_join(percent: int):
         for table in groups(batches):
             batch = table.combine_chunks().to_batches(max_chunksize=1 << 30)[0]
             key, i, j, block = (_column(batch, c) for c in ("key", "i", "j", "block"))
-            node, size, comp, vec = _column(batch, "node"), _column(batch, "size"), _column(batch, "comp"), _points(batch, "vec", "scale")
+            node, size, comp, fine = _column(batch, "node"), _column(batch, "size"), _column(batch, "comp"), Points(batch)
+            vec = fine.coarse
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             count = np.diff(np.r_[start, len(key)])
             found_a, found_b = [], []
@@ -273,31 +394,36 @@ def _tree_join(percent: int):
                         found_a.append(one[a])
                         found_b.append(two[b])
             if found_a:
-                a, b = node[np.concatenate(found_a)], node[np.concatenate(found_b)]
+                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                fits = fine.allowed(a, b, _most_shared(size[a], size[b], percent))
+                a, b = node[a[fits]], node[b[fits]]
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, label: str, id_column: str) -> DataFrame:
     """The pairs (a < b) that are linked: bound first, then the sets themselves."""
-    light = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("vec").alias(f"vec_{s}"), F.col("scale").alias(f"scale_{s}"))
+    light = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("fine").alias(f"fine_{s}"), F.col("fine_scale").alias(f"scale_{s}"))
     near = pairs.join(light("a"), "a").join(light("b"), "b").where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
 
     def bounded(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fits = np.minimum(_points(batch, "vec_a", "scale_a"), _points(batch, "vec_b", "scale_b")).sum(axis=1) >= _most_shared(_column(batch, "size_a"), _column(batch, "size_b"), percent)
-        return batch.select(["a", "b"]).filter(pa.array(fits))
+        least = _most_shared(_column(batch, "size_a"), _column(batch, "size_b"), percent)
+        point = lambda s: ((np.frombuffer(v.as_buffer(), np.uint8).astype(np.int32) * k) for v, k in zip(batch.column(f"fine_{s}"), _column(batch, f"scale_{s}").tolist(), strict=True))
+        fits = [most_common(x, y) >= n for x, y, n in zip(point("a"), point("b"), least.tolist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    left = written(map_batches(near, ["a", "b", "size_a", "size_b", "vec_a", "vec_b", "scale_a", "scale_b"], "a long, b long", bounded), f"{label}-bounded")
+    left = written(map_batches(near, ["a", "b", "size_a", "size_b", "fine_a", "fine_b", "scale_a", "scale_b"], "a long, b long", bounded), f"{label}-bounded")
     wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node")))
-    some = _only(sets, wanted)
+    some = _only(sets, wanted.distinct().join(nodes.select("node", "rep"), "node").select("node", F.xxhash64("rep").alias("doc")), id_column)
     both = left.join(some.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a").join(some.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
             if len(x) > len(y):
                 x, y = y, x
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -305,36 +431,53 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
             keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(map_batches(both, ["a", "b", "grams_a", "grams_b"], "a long, b long", exact), f"{label}-links")
+    links = written(map_batches(both, ["a", "b", "grams_a", "grams_b"], "a long, b long", exact), f"{label}-links")
+    discard(left)
+    return links
+
 
+def _only(sets: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
+    """The sets of the wanted (node, document), one per node: a bitmap of fixed size spares shuffling the others."""
+    held = sets.sparkSession.sparkContext.broadcast(Bitmap(wanted, ["node", "doc"], BITMAP))
 
-def _bits(batch: pa.RecordBatch) -> np.ndarray:
-    return (mix(_column(batch, "node").view(np.uint64)) & np.uint64(BITMAP - 1)).astype(np.int64)
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.select(["node", "grams"]).filter(pa.array(held.value.has(_places(batch, ["node", "doc"], BITMAP))))
 
+    return map_batches(_with_doc(sets, id_column), ["node", "grams", "doc"], "node long, grams binary", keep).dropDuplicates(["node"])
 
-def _only(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets whose node may be wanted, one per node: a bitmap of fixed size spares shuffling the others."""
 
-    def mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(BITMAP, bool)
-        flags[_bits(batch)] = True
-        packed = np.packbits(flags).reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["part", "bits"])
+def _with_doc(sets: DataFrame, id_column: str) -> DataFrame:
+    return sets.where("size > 0").withColumn("doc", F.xxhash64(id_column))
 
-    def merge(table: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    flags = np.zeros((64, BITMAP // 8 // 64), np.uint8)
-    for r in map_batches(wanted.distinct(), ["node"], "part int, bits binary", mark).groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
-        flags[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    held = sets.sparkSession.sparkContext.broadcast(flags.ravel())
+def _trees(sets: DataFrame, nodes: DataFrame, id_column: str) -> DataFrame:
+    """(key, node, n): the prefix shingles that several nodes share, and how many do.
 
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = _bits(batch)
-        return batch.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+    Bitmaps of fixed size stop the repeated texts and the shingles of one node before the shuffle; what
+    slips through repeats a row or is dropped by the join.
+    """
+    context = sets.sparkSession.sparkContext
+    reps = context.broadcast(Bitmap(nodes.select("node", F.xxhash64("rep").alias("doc")), ["node", "doc"], BITMAP))
+    rows = _with_doc(sets, id_column)
 
-    return map_batches(sets, ["node", "grams"], "node long, grams binary", keep).dropDuplicates(["node"])
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        batch = batch.filter(pa.array(reps.value.has(_places(batch, ["node", "doc"], BITMAP))))
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
+        return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.repeat(_column(batch, "node"), [len(k) for k in keys])
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _dealt(keys_of(batch)[0], 9)
+
+    counted = map_batches(rows, ["node", "doc", "keys"], "part int, h binary, c binary", count).groupBy("part").applyInArrow(_counted(2), "h long, c long")
+    shared = written(counted.select(F.col("h").alias("key"), F.col("c").alias("n")), "rtree-keys")
+    wanted = context.broadcast(Bitmap(shared, ["key"], 4 * BITMAP))
+
+    def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, node = keys_of(batch)
+        out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node)], ["key", "node"])
+        return out.filter(pa.array(wanted.value.has(_places(out, ["key"], 4 * BITMAP))))
+
+    return written(map_batches(rows, ["node", "doc", "keys"], "key long, node long", unpack).join(shared, "key"), "rtree-trees")
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -347,45 +490,77 @@ def components(links: DataFrame, label: str) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{label}-edges")
+        old, edges = edges, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{label}-edges")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if tuple(now) == before:
             break
         before = tuple(now)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), f"{label}-components")
+    discard(edges)
+    return out
+
+
+def _stars(trees: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, tried pairs, labels) of a few rounds in which each tree tries one pivot on one node of every other component.
+
+    A round costs at most one pair per row.  The first pivot is the node with the most large trees, later
+    ones are of the tree's largest component; nodes are drawn anew each round.
+    """
+    spark = nodes.sparkSession
+    pair, label = "a long, b long", "node long, comp long"
+    links, tried, labels = (spark.createDataFrame([], x) for x in (pair, pair, label))
+    degree = trees.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    for turn in range(ROUNDS):
+        named = trees.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if turn:
+            spots = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("weight"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+        else:
+            spots = named.join(degree, "node")
+        spots = written(spots.select("key", "comp", "node", "weight"), "rtree-spots")
+        pivots = written(spots.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", F.xxhash64("node"))).alias("p"), F.count(F.lit(1)).alias("spots")).where("spots > 1").select("key", "p"), "rtree-pivots")
+        asked = spots.join(pivots, "key").where(F.col("comp") != F.col("p.comp")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        asked = written(asked.join(tried, ["a", "b"], "left_anti"), "rtree-asked")
+        found = _verified(asked, nodes, sets, percent, f"rtree-star{turn}", id_column)
+        links, tried = links.unionByName(found), tried.unionByName(asked)
+        n = found.count()
+        if n:
+            labels = components(links, f"rtree-star{turn}")
+        if n < 50 and turn:
+            break
+        discard(spots)
+        trees = trees.join(pivots.select("key"), "key", "left_semi")
+    return links, tried, labels
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int = 20_000, frequent_shingles: int = 1 << 16, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): members (id, size, node), classes (node, component_id), links (a, b) between nodes."""
     frequent = _frequent(docs, words, sample_docs, frequent_shingles, id_column, text_column)
     sets = written(_nodes(docs, words, percent, frequent, id_column, text_column), "rtree-sets")
-    members = sets.select(id_column, "size", "node")
-    nodes = written(sets.where("size > 0").groupBy("node").agg(F.min(id_column).alias("rep"), F.first("size").alias("size"), F.first("scale").alias("scale"), F.first("vec").alias("vec"), F.first("keys").alias("keys")), "rtree-nodes")
-
-    def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("keys")]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(_column(batch, "node"), [len(k) for k in keys]))], ["key", "node"])
-
-    dealt = written(map_batches(nodes, ["keys", "node"], "key long, node long", unpack), "rtree-keys")
-    shared = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "rtree-trees")
-    trees = dealt.join(shared, "key")
-    star = trees.where((F.col("n") > STAR) & (F.col("node") != F.col("pivot"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    star_links = _verified(star, nodes, sets, percent, "rtree-star")
-    labels = components(star_links, "rtree-star")
-    known = written(nodes.select("node", "size", "scale", "vec").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rtree-labelled")
-    rows = trees.drop("pivot").join(known, "node")
+    nodes = written(sets.where("size > 0").groupBy("node").agg(F.min(id_column).alias("rep"), F.first("size").alias("size"), F.first("fine").alias("fine"), F.first("fine_scale").alias("fine_scale")), "rtree-nodes")
+    trees = _trees(sets, nodes, id_column)
+    release(docs.sparkSession)
+    star_links, tried, labels = _stars(trees.where(F.col("n") > STAR).select("key", "node"), nodes, sets, percent, id_column)
+    known = written(nodes.select("node", "size", "fine", "fine_scale").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rtree-labelled")
+    # a tree with one component, or of two nodes whose sizes are too far apart, needs no join; told by a small aggregate
+    bounds = trees.join(known.select("node", "comp", "size"), "node").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most"), F.first("n").alias("n"))
+    open_ = written(bounds.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | (F.col("least") * 100 >= F.col("most") * percent))).select("key"), "rtree-open")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("node"), parts).cast("int")
-    # a tree with one component needs no join; told by its own small aggregate
-    open_ = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "rtree-open")
-    placed = rows.join(open_, "key").withColumn("parts", parts).withColumn("block", block)
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "scale", "vec", "comp")
+    placed = trees.join(open_, "key").join(known, "node").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "fine", "fine_scale", "comp")
+    release(docs.sparkSession)
     met = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tree_join(percent), "a long, b long").distinct()
-    links = star_links.unionByName(_verified(met.join(star, ["a", "b"], "left_anti"), nodes, sets, percent, "rtree-join"))
+    met = written(met.join(tried, ["a", "b"], "left_anti"), "rtree-met")
+    discard(trees, open_, known)
+    release(docs.sparkSession)
+    links = star_links.unionByName(_verified(met, nodes, sets, percent, "rtree-join", id_column))
     found = components(links, "rtree-all")
     tagged = nodes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = tagged.groupBy("comp").agg(F.min("rep").alias("component_id"))
     classes = written(tagged.join(least, "comp").select("node", "component_id"), "rtree-classes")
+    members = written(sets.select(id_column, "size", "node"), "rtree-members")
+    discard(sets, nodes, met, found)
+    release(docs.sparkSession)
     return members, classes, links
 
 

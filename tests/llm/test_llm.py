@@ -206,6 +206,18 @@ def test_tree_finds_every_pair_that_its_bound_allows():
     assert got == want
 
 
+def test_fine_points_bound_the_intersection():
+    rng = np.random.default_rng(5)
+    pool = np.sort(textkit.stream(6, 60_000))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (3, 200, 300, 2000, 9000, 50_000)]
+    fine, scale = count_rtree.fine_points(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])])
+    assert [len(f) for f in fine] == [64, 64, 128, 512, 1024, 1024]
+    point = [np.frombuffer(f, np.uint8).astype(int) * k for f, k in zip(fine, scale.tolist(), strict=True)]
+    for x, p in zip(sets, point, strict=True):
+        for y, q in zip(sets, point, strict=True):
+            assert len(np.intersect1d(x, y)) <= count_rtree.most_common(p, q) <= max(len(x), len(y)) * 2
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["comp"] for r in count_rtree.components(links, "t").collect()}
