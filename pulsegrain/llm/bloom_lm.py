@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from pulsegrain.runtime import ship
 
-from .common import crc32_text, map_batches, written
+from .common import crc32_text, discard, map_batches, release, written
 from .textkit import LOWER, SPACE, blocks, mix, span_hashes, spans, stream
 
 END = stream(9, 1)[0]  #: the hash that stands for the end token
 UNI, BI = 0, 1
 ALPHA = 0.1
+PACK_ROWS = 5000  #: documents whose n-grams are combined before they are shuffled
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,16 +61,16 @@ def count_ngrams(docs: DataFrame, buckets: int, text_column: str = "text") -> Da
     """(kind, bucket, h binary, c binary): per bucket the sorted distinct hashes and their counts, written once."""
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        both: list[list[np.ndarray]] = [[], []]
-        for _, _, data, offsets in blocks(batch.column(0)):
-            words, firsts = tokens(data, offsets)
-            both[UNI].append(words)
-            both[BI].append(bigrams(words, firsts))
-        for kind, parts in enumerate(both):
-            joined = np.concatenate(parts) if parts else None
-            parts.clear()
-            values, counts = np.unique(joined, return_counts=True) if joined is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield _packed(kind, values, counts, buckets)
+        for at in range(0, batch.num_rows, PACK_ROWS):
+            both: list[list[np.ndarray]] = [[], []]
+            for _, _, data, offsets in blocks(batch.column(0).slice(at, PACK_ROWS)):
+                words, firsts = tokens(data, offsets)
+                both[UNI].append(words)
+                both[BI].append(bigrams(words, firsts))
+            for kind, parts in enumerate(both):
+                values = np.concatenate(parts)
+                parts.clear()
+                yield _packed(kind, *np.unique(values, return_counts=True), buckets)
 
     packed = map_batches(docs, [text_column], "kind int, bucket int, h binary, c binary", pack)
 
@@ -246,6 +247,9 @@ def score(docs: DataFrame, max_bytes: int = 1 << 28, head_words: int = 1 << 19,
     size = uni.agg(F.sum("tokens"), F.sum("n")).first()
     n, v = size[0] or 0, size[1] or 0
     grams = build_filter(counted, buckets, max_bytes)
+    uni = written(uni, "unigram-counts")
+    discard(counted)
+    release(spark)
     held = spark.sparkContext.broadcast(Scorer(grams, n, v, *_head(uni, head_words), blend))
     kind = docs.schema[id_column].dataType.simpleString()
     scale = math.log10(n + ALPHA * (v + 1))
