@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import delete_folder, shared_folder, written
 
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,12 +97,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         runs.add(lines.where(F.col("batch") == k).drop("batch"))
     # written, so that the join's sides are plain and a line that a third of all rows hold can be split
     repeated = written(runs.merged().where(F.col("docs") >= min_docs).select(*KEY, "last"), "line-repeated")
-    gone = (
+    gone = written(
         lines.join(repeated, KEY)
         .where(F.col("doc") < F.col("last"))
         .groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version"))
-        .agg(F.collect_set("pos").alias("_gone"))
+        .agg(F.collect_set("pos").alias("_gone")),
+        "line-gone",
     )
+    for folder in (path, runs.folder):
+        delete_folder(spark, folder)
     split = _lines(F.col(text_column))
     same = (F.col(id_column) == F.col("_doc")) & (F.xxhash64(F.col(text_column)) == F.col("_version"))
     joined = docs.join(gone, same, "left").withColumn("_lines", split)
