@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrain.llm import count_rtree, line_crf, line_runs, registry, sentencepiece_bpe, suffix_decontam
-from pulsegrain.llm.common import shared_folder, table
+from pulsegrain.llm.common import delete_folder, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,6 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}"
         done.write.parquet(path)
         docs = spark.read.schema(done.schema).parquet(path)
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
     return docs
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Verdict and host/path of each rule.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -84,5 +84,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, many: int = 20
     host_share = (F.col("host_b") + corpus_weight * prior) / (F.col("host_n") + corpus_weight)
     purity = branch.select("host", "branch", ((F.col("blocked") + host_weight * host_share) / (F.col("labelled") + host_weight)).alias("purity"))
     judged = written(tree.select("host", "shape", "template").join(merged.select("host", "template", "branch"), ["host", "template"]).join(purity, ["host", "branch"]).select("host", "shape", "template", "purity"), "url-verdicts")
+    discard(shapes, tree)
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     return urls.join(judged, ["host", "shape"], "left").select(id_column, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")
