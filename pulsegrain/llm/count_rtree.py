@@ -335,6 +335,24 @@ class Tree:
         return child[fits], np.repeat(b, FANOUT)[fits]
 
 
+def _least_common(large: pa.Array, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pair's key is the least large-tree key that both rows have; pairs of small trees are always told."""
+    out = np.ones(len(a), bool)
+    held: dict[int, frozenset | None] = {}
+
+    def keys(row: int) -> frozenset | None:
+        if row not in held:
+            value = large[row].as_py()
+            held[row] = None if value is None else frozenset(value)
+        return held[row]
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        one, two = keys(x), keys(y)
+        if one is not None and two is not None:
+            out[k] = min(one & two) == key[x]
+    return out
+
+
 def _tree_join(percent: int):
     """Joins the rows of one tree key: batches come sorted by (key, block a, block b), trees may span batches."""
 
@@ -396,7 +414,9 @@ def _tree_join(percent: int):
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
                 fits = fine.allowed(a, b, _most_shared(size[a], size[b], percent))
-                a, b = node[a[fits]], node[b[fits]]
+                a, b = a[fits], b[fits]
+                told = _least_common(batch.column("large"), key, a, b)
+                a, b = node[a[told]], node[b[told]]
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 trim()
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
@@ -547,7 +567,10 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int =
     open_ = written(bounds.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | (F.col("least") * 100 >= F.col("most") * percent))).select("key"), "rtree-open")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     placed = trees.join(open_, "key").join(known, "node").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "fine", "fine_scale", "comp")
+    # in a large tree a pair is told only under the least key of the large trees that both nodes are in
+    large = trees.where(F.col("n") > 2 * FANOUT).groupBy("node").agg(F.collect_list("key").alias("large"))
+    placed = placed.join(large, "node", "left").withColumn("large", F.when(F.col("n") > 2 * FANOUT, F.col("large")))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "fine", "fine_scale", "comp", "large")
     release(docs.sparkSession)
     met = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tree_join(percent), "a long, b long").distinct()
     met = written(met.join(tried, ["a", "b"], "left_anti"), "rtree-met")
