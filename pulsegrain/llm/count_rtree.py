@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, map_batches, release, trim, written
@@ -568,8 +568,9 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int =
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     placed = trees.join(open_, "key").join(known, "node").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # in a large tree a pair is told only under the least key of the large trees that both nodes are in
-    large = trees.where(F.col("n") > 2 * FANOUT).groupBy("node").agg(F.collect_list("key").alias("large"))
-    placed = placed.join(large, "node", "left").withColumn("large", F.when(F.col("n") > 2 * FANOUT, F.col("large")))
+    # (a pair in different components finds all its common trees open; rows are dealt by node here already)
+    many = F.col("n") > 2 * FANOUT
+    placed = placed.withColumn("large", F.when(many, F.collect_list(F.when(many, F.col("key"))).over(Window.partitionBy("node"))))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "fine", "fine_scale", "comp", "large")
     release(docs.sparkSession)
     met = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tree_join(percent), "a long, b long").distinct()
