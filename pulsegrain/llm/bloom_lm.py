@@ -5,9 +5,11 @@ binary row per hash bucket (map-side combine), so the shuffle carries about nine
 instead of a row.  Buckets are summed with numpy.
 
 Filter: an n-gram counted c times enters the filter once for each level 1..q with
-q = 1 + floor(log2 c).  Its size follows the number of entries up to `max_bytes`, the proven bound of
-what is broadcast; beyond it only the rate of false levels rises.  A bucket owns one slice of the bit
-array, so slices are built side by side.
+q = 1 + floor(log2 c).  Its size follows the number of entries at every size of the corpus, so the rate
+of false levels stays.  A bucket owns one slice of the bit array, so slices are built side by side.  Up
+to `max_bytes`, the bound of what is broadcast, the whole filter goes to every worker; a larger one is
+never gathered: the distinct n-grams of each chunk of texts are dealt to the slices by bucket, probed
+there, and their levels brought back to the chunk.  Both ways probe the same bits.
 
 Scoring: levels are probed until one is missing, which gives the count back within a factor of two.
 log10 P(w | v) interpolates the bigram estimate with the unigram one.  Beside it the exact
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,7 @@ END = stream(9, 1)[0]  #: the hash that stands for the end token
 UNI, BI = 0, 1
 ALPHA = 0.1
 PACK_ROWS = 5000  #: documents whose n-grams are combined before they are shuffled
+CHUNK_BYTES = 1 << 21  #: text whose n-grams are probed together where the filter is not broadcast
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +162,16 @@ def estimate(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 0.75 * np.exp2(levels) - 0.5 * (levels == 1), 0.0)
 
 
-def build_filter(counted: DataFrame, buckets: int, max_bytes: int, entry_bits: int = 8) -> Filter:
-    """Slices are built per bucket on the executors; the driver only lays them side by side."""
+def shape_filter(counted: DataFrame, buckets: int, entry_bits: int = 8) -> Filter:
+    """A filter without its bits, of `entry_bits` an entry."""
     entries = counted.agg(F.sum("entries")).first()[0] or 0
     slices = min(buckets, 1 << 10)
-    whole = Filter(slices, max(64, min(entries * entry_bits, max_bytes * 8) // slices // 8 * 8))
-    merge = buckets // slices
+    return Filter(slices, max(64, -(-entries * entry_bits // slices // 8) * 8))
+
+
+def build_filter(counted: DataFrame, buckets: int, whole: Filter) -> Filter:
+    """Slices are built per bucket on the executors; the driver only lays them side by side."""
+    slices, merge = whole.slices, buckets // whole.slices
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         grams = [(k.as_py(), np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)) for k, h, c in zip(table.column("kind"), table.column("h"), table.column("c"), strict=True)]
@@ -177,20 +185,63 @@ def build_filter(counted: DataFrame, buckets: int, max_bytes: int, entry_bits: i
     return whole
 
 
+def ask_levels(docs: DataFrame, buckets: int, id_column: str, text_column: str) -> DataFrame:
+    """Per chunk of texts its rows (_row, id, text) and the distinct n-grams to be probed (kind, bucket, h), written once."""
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, to, data, offsets in blocks(batch.column(2), CHUNK_BYTES):
+            words, firsts = tokens(data, offsets)
+            rows = batch.slice(at, to - at)
+            chunk = rows.column(0)[0].as_py()
+            blank = lambda n, *types: [pa.nulls(n, t) for t in types]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * rows.num_rows, pa.int64()), *rows.columns, *blank(rows.num_rows, pa.int32(), pa.int32(), pa.binary())], names)
+            for gram, keys in ((UNI, words), (BI, bigrams(words, firsts))):
+                keys = np.unique(keys)
+                packed = _packed(gram, keys, np.zeros(len(keys)), buckets)
+                n = packed.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), *blank(n, *(c.type for c in rows.columns)), packed.column(0), packed.column(1), packed.column(2)], names)
+
+    names = ["chunk", "_row", id_column, text_column, "kind", "bucket", "h"]
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    return written(map_batches(numbered, ["_row", id_column, text_column], f"chunk long, _row long, {id_column} {kind}, {text_column} string, kind int, bucket int, h binary", ask), "lm-asked")
+
+
+def join_levels(asked: DataFrame, counted: DataFrame, buckets: int, whole: Filter) -> DataFrame:
+    """(chunk, kind, bucket, levels): a byte for each n-gram asked, from the slice that its bucket fills."""
+    merge = buckets // whole.slices
+
+    def probe(table: pa.Table) -> pa.Table:
+        grams, asks = [], []
+        for chunk, kind, bucket, h, c in zip(*(table.column(k) for k in ("chunk", "kind", "bucket", "h", "c")), strict=True):
+            keys = np.frombuffer(h.as_buffer(), np.uint64)
+            if c.is_valid:
+                grams.append((kind.as_py(), keys, np.frombuffer(c.as_buffer(), np.int64)))
+            else:
+                asks.append((chunk.as_py(), kind.as_py(), bucket.as_py(), keys))
+        part = Filter(1, whole.slice_bits, np.frombuffer(whole.build(grams), np.uint8))
+        found = [part.levels(keys, kind).astype(np.uint8).tobytes() for _, kind, _, keys in asks]
+        return pa.table({"chunk": pa.array([a[0] for a in asks], pa.int64()), "kind": pa.array([a[1] for a in asks], pa.int32()), "bucket": pa.array([a[2] for a in asks], pa.int32()), "levels": pa.array(found, pa.binary())})
+
+    asks = asked.where(F.col("kind").isNotNull()).select("chunk", "kind", "bucket", "h", F.lit(None).cast("binary").alias("c"))
+    sides = asks.unionByName(counted.select(F.lit(None).cast("long").alias("chunk"), "kind", "bucket", "h", "c")).withColumn("slice", (F.col("bucket") / merge).cast("int"))
+    return written(sides.groupBy("slice").applyInArrow(probe, "chunk long, kind int, bucket int, levels binary"), "lm-levels")
+
+
 class Scorer:
-    """What a worker needs: the filter, corpus sizes and the counts of frequent words."""
+    """What a worker needs: the filter (None where levels are joined), corpus sizes and the counts of frequent words."""
 
-    def __init__(self, grams: Filter, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, blend: float):
+    def __init__(self, grams: Filter | None, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, blend: float):
         self.grams, self.n, self.v, self.head, self.head_counts, self.blend = grams, n, v, head, head_counts, blend
 
-    def log_probability(self, words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
+    def log_probability(self, words: np.ndarray, firsts: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
+        """log10 P of each token after the one before it; `levels` of the distinct uni- and bigrams in order, else probed."""
         single, where = np.unique(words, return_inverse=True)
-        count = estimate(self.grams.levels(single, UNI))[where]
         pairs, pair_at = np.unique(bigrams(words, firsts), return_inverse=True)
-        both = estimate(self.grams.levels(pairs, BI))[pair_at]
-        before = np.r_[0.0, count[:-1]] if len(count) else count
-        before[firsts[:-1]] = estimate(self.grams.levels(np.array([END], np.uint64), UNI))[0]
+        uni, bi = levels or (self.grams.levels(single, UNI), self.grams.levels(pairs, BI))
+        count, both = estimate(uni)[where], estimate(bi)[pair_at]
+        before = np.r_[0.0, count[:-1]]
+        before[firsts[:-1]] = count[firsts[1:] - 1]  # a row's last token is the end token
         unigram = (np.minimum(count, self.n) + ALPHA) / (self.n + ALPHA * (self.v + 1))
         bigram = np.where(before > 0, np.minimum(both, before) / np.maximum(before, 1), unigram)
         return np.log10(self.blend * bigram + (1 - self.blend) * unigram)
@@ -246,7 +297,13 @@ def score(docs: DataFrame, max_bytes: int = 1 << 28, head_words: int = 1 << 19,
     uni = counted.where(F.col("kind") == UNI)
     size = uni.agg(F.sum("tokens"), F.sum("n")).first()
     n, v = size[0] or 0, size[1] or 0
-    grams = build_filter(counted, buckets, max_bytes)
+    whole = shape_filter(counted, buckets)
+    gathered = whole.slices * whole.slice_bits <= max_bytes * 8
+    if gathered:
+        grams = build_filter(counted, buckets, whole)
+    else:
+        grams, asked = None, ask_levels(docs, buckets, id_column, text_column)
+        levels = join_levels(asked, counted, buckets, whole)
     uni = written(uni, "unigram-counts")
     discard(counted)
     release(spark)
@@ -255,30 +312,45 @@ def score(docs: DataFrame, max_bytes: int = 1 << 28, head_words: int = 1 << 19,
     scale = math.log10(n + ALPHA * (v + 1))
     shift = 64 - int(math.log2(buckets))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch | pa.Table, found: list[np.ndarray] | None = None) -> pa.RecordBatch:
         model = held.value
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("tokens", "known", "base", "score", "rare")}
         rare: list[bytes] = []
-        for _, _, data, offsets in blocks(batch.column(1)):
+        for _, _, data, offsets in blocks(batch.column(1), *([1 << 62] if found else [])):
             words, firsts = tokens(data, offsets)
             count, inside = model.frequent(words)
             add = lambda x: np.add.reduceat(x, firsts[:-1])  # noqa: E731  no row is without its end token
             parts["tokens"].append(np.diff(firsts))
             parts["known"].append(add(inside.astype(np.int64)))
             parts["base"].append(add(np.where(inside, np.log10(count + ALPHA), 0.0)))
-            parts["score"].append(add(model.log_probability(words, firsts)))
+            parts["score"].append(add(model.log_probability(words, firsts, found)))
             at = np.flatnonzero(~inside)
             cut = np.searchsorted(at, firsts)
             rest = words[at]
             rare += [rest[cut[r] : cut[r + 1]].tobytes() for r in range(len(firsts) - 1)]
         whole = {k: np.concatenate(x) if x else np.zeros(0) for k, x in parts.items() if k != "rare"}
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(whole["tokens"].astype(np.int64)), pa.array(whole["known"].astype(np.int64)), pa.array(whole["base"].astype(float)), pa.array(whole["score"].astype(float)), pa.array(rare, pa.binary())],
+            [batch.column(0).combine_chunks() if found else batch.column(0), pa.array(whole["tokens"].astype(np.int64)), pa.array(whole["known"].astype(np.int64)), pa.array(whole["base"].astype(float)), pa.array(whole["score"].astype(float)), pa.array(rare, pa.binary())],
             [id_column, "n_tokens", "known", "base", "score", "rare"],
         )
 
-    scored = map_batches(docs, [id_column, text_column], f"{id_column} {kind}, n_tokens long, known long, base double, score double, rare binary", run)
-    first = written(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    def run_chunk(table: pa.Table) -> pa.Table:
+        """The rows of a chunk with the levels that its slices gave, whose order is that of the buckets."""
+        is_text = pc.is_valid(table.column("_row"))
+        texts, given = table.filter(is_text), table.filter(pc.invert(is_text)).sort_by("bucket")
+        found = [np.frombuffer(b"".join(x.as_py() for x in given.filter(pc.equal(given.column("kind"), k)).column("levels")), np.uint8).astype(np.int64) for k in (UNI, BI)]
+        return pa.Table.from_batches([run(texts.select([id_column, text_column]), found)]).append_column("_row", texts.column("_row"))
+
+    schema = f"{id_column} {kind}, n_tokens long, known long, base double, score double, rare binary"
+    if gathered:
+        scored = map_batches(docs, [id_column, text_column], schema, run)
+        first = written(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scores")
+    else:
+        texts = asked.where(F.col("kind").isNull()).select("chunk", "_row", id_column, text_column)
+        both = texts.unionByName(levels, allowMissingColumns=True)
+        first = written(both.groupBy("chunk").applyInArrow(run_chunk, f"{schema}, _row long"), "lm-scores")
+        discard(asked, levels)
+        release(spark)
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Per bucket the rare tokens of the batch with their rows."""

@@ -401,6 +401,13 @@ def test_language_model_prefers_its_corpus(spark):
     assert got[1] > got[100] and got[1] > got[101]
 
 
+def test_language_model_scores_do_not_depend_on_what_is_broadcast(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(k, " ".join(f"w{(k * 7 + i * i) % 900}" for i in range(60))) for k in range(200, 500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    take = lambda **o: sorted(((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in bloom_lm.score(frame, **o).collect()))
+    assert take(max_bytes=1 << 10) == take()
+
+
 def test_language_model_of_nothing(empty):
     assert bloom_lm.score(empty).count() == 0
 
