@@ -5,9 +5,8 @@ Everything here is DataFrame and SQL functions.
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass the kind's check.
 Terms beside an entity (a base value) can give it away.  How strongly is estimated from the corpus: a
 term t tells PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) of the entity's information IC(e) = log2(N / n(e)),
-with n counting documents.  Terms that tell at least `disclosure` of IC(e), seen beside it in at least
-`support` documents, are spans of kind `term`; `sanitise` removes them and generalises entities to
-their kind.
+with n counting documents.  Terms that tell at least `disclosure` of IC(e) are spans of kind `term`,
+for entities of a single document too; `sanitise` removes them and generalises entities to their kind.
 
 A term is a run of at least three letters, lower-cased; beside means among the `reach` nearest terms
 within 200 code points before and after the entity.
@@ -132,7 +131,7 @@ def _beside(side: Column, at: Column, last: bool, reach: int) -> Column:
     return F.when(F.size(terms) <= reach, terms).otherwise(F.slice(terms, -reach if last else 1, reach))
 
 
-def term_spans(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, support: int = 3, reach: int = 4, text_column: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, reach: int = 4, text_column: str = "text") -> DataFrame:
     """(id, version, spans of kind term): the terms beside base spans that give their entity away."""
     met = base.where(F.size("_base") > 0).select("_id", "_version", F.explode("_base").alias("s"))
     near = met.select(
@@ -142,10 +141,10 @@ def term_spans(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, suppor
         F.explode(F.concat(_beside(F.col("s.before"), F.col("s.start") - F.char_length("s.before"), True, reach), _beside(F.col("s.after"), F.col("s.end"), False, reach))).alias("n"),
     ).select("_id", "_version", "entity", "n.*")
     # n(t, e): partial counts per document first, so that a frequent pair costs one row per task
-    pair = near.select("_id", "_version", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    entity = met.select("_id", "_version", F.xxhash64("s.ord", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    pair = near.select("_id", "_version", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    entity = met.select("_id", "_version", F.xxhash64("s.ord", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= support)
+    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
     scored = pair.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total is one row
     pmi = F.log2(F.col("n_all") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))

@@ -271,6 +271,13 @@ def test_pii_terms_that_tell_an_entity(spark):
     assert disclosure_pii.sanitise(docs).where("doc_id = 1").first()["text"] == "note 1:  wrote from [email] today"
 
 
+def test_pii_terms_that_tell_an_entity_of_one_document(spark):
+    rows = [(1, "note 1: Zebulon wrote from zed@ex.com today"), (2, "note 2: Quimby wrote from 10.1.2.3 today")] + [(100 + i, "today note wrote from here and there") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in disclosure_pii.sanitise(docs).collect()}
+    assert got[1] == "note 1:  wrote from [email] today" and got[2] == "note 2:  wrote from [ip] today" and got[100] == rows[2][1]
+
+
 def test_pii_of_nothing(empty):
     assert disclosure_pii.find(empty).count() == 0 and disclosure_pii.sanitise(empty).columns == empty.columns
 
