@@ -3,13 +3,13 @@
 Everything here is DataFrame and SQL functions.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass the kind's check.
-Terms beside an entity (a base value) can give it away.  How strongly is estimated from the corpus: a
+Terms in the documents of an entity (a base value) can give it away.  How strongly is estimated from the corpus: a
 term t tells PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) of the entity's information IC(e) = log2(N / n(e)),
 with n counting documents.  Terms that tell at least `disclosure` of IC(e) are spans of kind `term`,
 for entities of a single document too; `sanitise` removes them and generalises entities to their kind.
 
-A term is a run of at least three letters, lower-cased; beside means among the `reach` nearest terms
-within 200 code points before and after the entity.
+A term is a run of at least three letters, lower-cased, anywhere in the text.  Every place of a telling
+term in a document that holds the entity is a span, except where it overlaps a base span.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat both id and text share
 their spans and count as one document; a null id is an id of its own; other columns stay as they are.
@@ -19,10 +19,10 @@ no pattern.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 
@@ -86,11 +86,11 @@ def _passes(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-SPAN = "array<struct<start:int,ord:int,end:int,value:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,ord:int,end:int,value:string>>"
 
 
-def _matches(text: Column, kind: str, context: int) -> Column:
-    """The spans of one kind with the text on both sides."""
+def _matches(text: Column, kind: str) -> Column:
+    """The spans of one kind."""
     nth = KINDS.index(kind)
 
     def spans(pieces: Column) -> Column:
@@ -103,8 +103,6 @@ def _matches(text: Column, kind: str, context: int) -> Column:
                     F.lit(nth).alias("ord"),
                     (x["pos"] + F.char_length(x["piece"])).alias("end"),
                     x["piece"].alias("value"),
-                    F.right(F.get(pieces, i - 1)["piece"], F.lit(context)).alias("before"),
-                    F.substring(F.get(pieces, i + 1)["piece"], 1, context).alias("after"),
                 ),
             ),
         )
@@ -115,47 +113,57 @@ def _matches(text: Column, kind: str, context: int) -> Column:
     return F.when(HINTS[kind](text), bound[0].cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def base_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", context: int = 200) -> DataFrame:
-    """(id, version of the text, base spans sorted by start and kind) of every row."""
+def base_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, version of the text, base spans sorted by start and kind, the text if there are any) of every row, written once."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    every = F.concat(*(_matches(text, kind, context) for kind in KINDS[:4]))
-    return docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_version"), F.array_sort(every).alias("_base"))
-
-
-def _beside(side: Column, at: Column, last: bool, reach: int) -> Column:
-    """The nearest terms of one side as (term, start, end)."""
-    terms = F.transform(
-        F.array(_pieces(side, TERM)),
-        lambda pieces: F.filter(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.struct(F.lower(x["piece"]).alias("term"), (at + x["pos"]).alias("t_start"), (at + x["pos"] + F.char_length(x["piece"])).alias("t_end")))), lambda x: x.isNotNull()),
-    )[0]
-    return F.when(F.size(terms) <= reach, terms).otherwise(F.slice(terms, -reach if last else 1, reach))
-
-
-def term_spans(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, reach: int = 4, text_column: str = "text") -> DataFrame:
-    """(id, version, spans of kind term): the terms beside base spans that give their entity away."""
-    met = base.where(F.size("_base") > 0).select("_id", "_version", F.explode("_base").alias("s"))
-    near = met.select(
-        "_id",
-        "_version",
-        F.xxhash64("s.ord", "s.value").alias("entity"),
-        F.explode(F.concat(_beside(F.col("s.before"), F.col("s.start") - F.char_length("s.before"), True, reach), _beside(F.col("s.after"), F.col("s.end"), False, reach))).alias("n"),
-    ).select("_id", "_version", "entity", "n.*")
-    # n(t, e): partial counts per document first, so that a frequent pair costs one row per task
-    pair = near.select("_id", "_version", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    entity = met.select("_id", "_version", F.xxhash64("s.ord", "s.value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-    term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("n_all"))
-    scored = pair.join(entity, "entity").join(term, "term").crossJoin(F.broadcast(total))  # total is one row
-    pmi = F.log2(F.col("n_all") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    telling = scored.where((F.col("n_all") > F.col("n_e")) & (pmi >= disclosure * F.log2(F.col("n_all") / F.col("n_e")))).select("entity", "term")
-    spans = near.join(telling, ["entity", "term"]).select("_id", "_version", F.struct(F.col("t_start").alias("start"), F.lit(4).alias("ord"), F.col("t_end").alias("end")).alias("s"))
-    return spans.groupBy("_id", "_version").agg(F.collect_set("s").alias("_terms"))
+    every = F.array_sort(F.concat(*(_matches(text, kind) for kind in KINDS[:4])))
+    found = F.transform(F.array(every), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, text).alias("text")))[0]  # names the spans once
+    kept = written(docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_version"), found.alias("_found")), "pii-spans")
+    return kept.select("_id", "_version", F.col("_found.base").alias("_base"), F.col("_found.text").alias("_text"))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})")), F.lower))
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(_doc, term, start, end) of every term of (_doc, _text)."""
+    marked = F.translate("_text", OPEN + CLOSE, OTHER * 2)
+    cut = F.split(F.regexp_replace(marked, F.lit(TERM), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    pieces = texts.select("_doc", F.posexplode(cut).alias("i", "piece")).select("_doc", "i", F.lower("piece").alias("term"), F.char_length("piece").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("_doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return pieces.withColumn("end", end).where(F.col("i") % 2 == 1).select("_doc", "term", (F.col("end") - F.col("n")).alias("start"), "end")
+
+
+def term_spans(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, text_column: str = "text") -> DataFrame:
+    """(id, version, spans of kind term): the terms of documents with base spans that give an entity of theirs away."""
+    entities = F.array_distinct(F.transform("_base", lambda s: F.xxhash64(s["ord"], s["value"])))
+    bare = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    met = base.where(F.size("_base") > 0).dropDuplicates(["_id", "_version"])
+    met = written(met.select(F.monotonically_increasing_id().alias("_doc"), "_id", "_version", entities.alias("_entities"), bare.alias("_bare"), "_text"), "pii-met")
+    n_all = float(docs.count())
+    inside = met.select("_doc", F.explode("_entities").alias("entity"))
+    entity = written(inside.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n_all), "pii-entities")
+    # n(t, e) <= n(e), so that a telling term has n(t) <= N (n(e) / N) ** disclosure; others need no pair
+    most = lambda n_e: (1 + 1e-9) * n_all * F.pow(n_e / F.lit(max(n_all, 1.0)), F.lit(disclosure))
+    largest = entity.agg(F.max("n_e")).first()[0] or 0
+    term = docs.select(F.explode(_terms(F.coalesce(F.col(text_column), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= most(F.lit(largest)))
+    held = met.select("_doc", F.explode(_terms(F.col("_text"))).alias("term")).join(term, "term")
+    pair = written(held.join(inside.join(entity, "entity"), "_doc").where(F.col("n_t") <= most(F.col("n_e"))), "pii-pairs")
+    pmi = F.log2(n_all * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    scored = pair.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te"))
+    telling = scored.where(pmi >= disclosure * F.log2(n_all / F.col("n_e"))).select("entity", "term")
+    told = written(pair.join(telling, ["entity", "term"]).select("_doc", "term").distinct(), "pii-told")
+    discard(pair, entity)
+    places = _places(met.join(told.select("_doc").distinct(), "_doc", "left_semi")).join(told, ["_doc", "term"])
+    spans = places.groupBy("_doc").agg(F.collect_set(F.struct("start", F.lit(4).alias("ord"), "end")).alias("_spans"))
+    apart = F.filter("_spans", lambda t: ~F.exists("_bare", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
+    return spans.join(met.select("_doc", "_id", "_version", "_bare"), "_doc").select("_id", "_version", apart.alias("_terms"))
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **limits: float) -> DataFrame:
     """Per row: id, version, base spans and all spans (start, ord, end), both sorted."""
-    base = written(base_spans(docs, id_column, text_column), "pii-spans")
+    base = base_spans(docs, id_column, text_column)
     terms = term_spans(docs, base, text_column=text_column, **limits).withColumnRenamed("_id", "_t_id").withColumnRenamed("_version", "_t_version")
     narrow = base.select("_id", "_version", F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"))).alias("base"))
     joined = narrow.join(terms, F.col("_id").eqNullSafe(F.col("_t_id")) & (F.col("_version") == F.col("_t_version")), "left")

@@ -278,6 +278,14 @@ def test_pii_terms_that_tell_an_entity_of_one_document(spark):
     assert got[1] == "note 1:  wrote from [email] today" and got[2] == "note 2:  wrote from [ip] today" and got[100] == rows[2][1]
 
 
+def test_pii_terms_are_told_in_the_whole_text(spark):
+    far = " today note" * 100
+    texts = ["Zebulon order 12 card 4539578763621486 today", f"Dear Quimby,{far} q@ex.com", f"a@ex.com b@ex.com{far} QUIMBLE é Ω quimble"]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, "today note wrote dear order card") for i in range(200))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in disclosure_pii.sanitise(docs).collect()}
+    assert [got[k] for k in range(3)] == [" order 12 card [card] today", f"Dear ,{far} [email]", f"[email] [email]{far}  é Ω "]
+
+
 def test_pii_of_nothing(empty):
     assert disclosure_pii.find(empty).count() == 0 and disclosure_pii.sanitise(empty).columns == empty.columns
 
