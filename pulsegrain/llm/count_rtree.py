@@ -554,7 +554,7 @@ def _stars(trees: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, id
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int = 20_000, frequent_shingles: int = 1 << 16, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): members (id, size, node), classes (node, component_id), links (a, b) between nodes."""
+    """(members, classes, links): members (id, size, node), classes (node, component_id), spanning links (a, b) between nodes."""
     frequent = _frequent(docs, words, sample_docs, frequent_shingles, id_column, text_column)
     sets = written(_nodes(docs, words, percent, frequent, id_column, text_column), "rtree-sets")
     nodes = written(sets.where("size > 0").groupBy("node").agg(F.min(id_column).alias("rep"), F.first("size").alias("size"), F.first("fine").alias("fine"), F.first("fine_scale").alias("fine_scale")), "rtree-nodes")
