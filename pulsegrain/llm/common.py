@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrain.runtime import ship
+from pulsegrain.runtime import shared_folder, ship
 
 _LIBC = ctypes.CDLL(None)
 
@@ -20,13 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/pulsegrain-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it (names do not differ by case alone)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_bytes(docs: DataFrame, text_column: str = "text") -> tuple[int, int]:
+    """Rows and bytes of text: sizes intermediate parts, never decides results."""
+    found = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_column))).first()
+    return found[0], found[1] or 0
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A page is a row of words and tags.  Words score by where they stand (positive in content), tags
 negatively; a linear scan finds the contiguous stretch with the highest sum.  Weights are smoothed log
 odds of standing inside the article, counted on labelled pages: those of a bounded sample
-(`sample_pages`) that mark their article themselves.  The stretch's text is given in blocks without
-what never belongs to an article: scripts, styles, menus, forms, asides, adverts, comments of readers.
+(`sample_pages`) that mark their article themselves.  The stretch's text is given in blocks, parted by
+two line feeds, without what never belongs to an article: scripts, styles, menus, forms, asides,
+adverts, comments of readers.
 
 Defined results: null, empty and wordless pages have an empty text; without labelled pages fixed
 weights stand in; unclosed tags at the end of a page are dropped; unknown character references stay as
@@ -42,15 +43,15 @@ Token = tuple[str, str, int, bool, str]
 def tokens(page: str) -> list[Token]:
     """(feature, block break or word text, words, usable, innermost block) of every tag and text."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool]] = [("", "", True)]  # name, section, usable
+    stack: list[tuple[str, str, bool, str, bool]] = [("", "", True, "", False)]  # name, section, usable, innermost block, within an article
+    opened: Counter[str] = Counter()  # names in the stack, so that a closing tag without one costs nothing
     for m in TOKEN.finditer(page):
         name = (m["name"] or "").lower()
         if not name:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 words = entities.unescape(piece)
-                section, usable = stack[-1][1], stack[-1][2]
-                inner = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
+                _, section, usable, inner, _ = stack[-1]
                 out.append((f"w {section} {inner}", words, len(words.split()), usable, inner))
             elif m["raw"]:
                 out.append((f"t {m['raw'].lower()}", "", 0, False, ""))
@@ -58,18 +59,21 @@ def tokens(page: str) -> list[Token]:
         mark = "\n" if name in BLOCKS else " " if name == "br" else ""
         out.append((f"t {m['close']}{name}", mark, 0, True, ""))
         if m["close"]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-            if at:
-                del stack[at:]
+            while opened[name]:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == name:
+                    break
         elif name not in VOID and not m["rest"].endswith("/"):
             if name == "p" or name == "li":
                 while stack[-1][0] == name or (stack[-1][0] not in BLOCKS and any(s[0] == name for s in stack[-4:])):
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
+            _, section, usable, inner, within = stack[-1]
             beside = any(BESIDE.search(" ".join(x)) for x in MARKER.findall(m["rest"]))
-            within = any(s[0] in ("article", "main") for s in stack)
-            usable = stack[-1][2] and not beside and name not in NEVER and (name != "header" or within)
-            section = (f"{name}-beside" if beside else name) if name in SECTIONS else stack[-1][1]
-            stack.append((name, section, usable))
+            usable = usable and not beside and name not in NEVER and (name != "header" or within)
+            section = (f"{name}-beside" if beside else name) if name in SECTIONS else section
+            stack.append((name, section, usable, name if name in BLOCKS else inner, within or name in ("article", "main")))
+            opened[name] += 1
     return out
 
 
@@ -127,7 +131,7 @@ def extract(page: str, weights: Weights) -> str:
             now.append(text)
     blocks.append(now)
     lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(line for line in lines if line)
+    return "\n\n".join(line for line in lines if line)
 
 
 def train(pages: DataFrame, sample_pages: int = 3000, features: int = 4096, id_column: str = "page_id", html_column: str = "html") -> Weights:

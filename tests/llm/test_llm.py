@@ -8,6 +8,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -366,16 +367,31 @@ def test_main_text_on_real_pages(spark, data):
     for r in pages.collect():
         body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body)]
-        assert got[r["page_id"]] == "\n".join(p for p in parts if p)
+        assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
 
 
 def test_main_text_edges():
     w = html_extraction.Weights()
     page = "<html><head><title>t</title></head><body><nav><a href='/'>home</a> <a>menu</a></nav><div class='cookie-notice'>we use cookies</div><main><h1>Head &amp; more</h1><p>Some  words\n here &lt;b&gt;<p>and <b>bold</b>ly on<ul><li>item<li>two</ul><aside>side words</aside><script>var x='</p>'</script><form>name <input></form><!-- gone --></main><div id=comments>first! second!</div><footer>&copy; x</footer><p"
-    assert html_extraction.extract(page, w) == "Head & more\nSome words here <b>\nand boldly on\nitem\ntwo"
+    assert html_extraction.extract(page, w) == "Head & more\n\nSome words here <b>\n\nand boldly on\n\nitem\n\ntwo"
     assert html_extraction.extract("", w) == "" and html_extraction.extract("<div></div>", w) == "" and html_extraction.extract("plain &bogus; words", w) == "plain &bogus; words"
 
 
+def test_main_text_blocks_are_parted_by_two_line_feeds():
+    page = "<h1>Title here now</h1><p>One two  three</p>\n<p>Six seven<br>eight</p>"
+    assert html_extraction.extract(page, html_extraction.Weights()) == "Title here now\n\nOne two three\n\nSix seven eight"
+
+
+def test_main_text_of_unclosed_tags_takes_time_in_proportion():
+    def took(n: int) -> float:
+        began = time.perf_counter()
+        assert html_extraction.extract("<div><b>" * n + "words " * n + "</i></u>" * n, html_extraction.Weights()) is not None
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(32_000) < 4 * 4 * took(8_000)
+
+
 # --- 8 language model ------------------------------------------------------------------------------------
 
 
