@@ -85,5 +85,34 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_column: str, sample_docs: int, sample_bytes: int, id_column: str, text_column: str) -> tuple[DataFrame | None, dict[int, int]]:
+    """Whole texts for training, (_y, _text), and the number of labels of each kind; None unless there are both kinds.
+
+    The ids of each label are taken in the order of their hash, at most `sample_docs`, while their texts
+    add up to `sample_bytes` (the first always): the length of a text alone excludes no document.  A
+    repeated id stands for the text with the least hash among its own.
+    """
+    spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
+    valid = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
+    seen = {r["_y"]: r["count"] for r in valid.groupBy("_y").count().collect()}
+    if len(seen) < 2:
+        return None, seen
+    picked = []
+    for value in (0, 1):
+        part = valid.where(F.col("_y") == value).select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
+        picked += [(k, r[0], value) for k, r in enumerate(part.collect())]
+    chosen = F.broadcast(spark.createDataFrame(picked, f"_nth long, _id {kind}, _y int"))
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).where(F.length("_text") > 0)
+    one = texts.join(chosen, "_id").groupBy("_y", "_nth").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    sizes = one.select("_y", "_nth", F.octet_length("_text").alias("n")).orderBy("_y", "_nth").collect()
+    total, last = {0: 0, 1: 0}, {0: -1, 1: -1}
+    for r in sizes:
+        if not total[r["_y"]] or total[r["_y"]] + r["n"] <= sample_bytes:
+            last[r["_y"]] = r["_nth"]
+        total[r["_y"]] += r["n"]
+    within = (F.col("_y") == 0) & (F.col("_nth") <= last[0]) | (F.col("_y") == 1) & (F.col("_nth") <= last[1])
+    return one.where(within).select("_y", "_text"), seen
+
+
 def crc32_text(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))

@@ -6,8 +6,10 @@ label of their document.  The weights decide every line of every document togeth
 neighbours; a document stays if it passes the counted base rules and at least `min_share` of its
 words are on lines marked content.
 
-The chain is fitted on a bounded sample of labelled documents (`sample_docs` of each label, texts of
-at most `sample_chars` characters); everything else covers all rows.
+The chain is fitted on a bounded sample of labelled documents: `sample_docs` of each label in the order
+of a hash of their ids, whole texts, as long as they add up to `sample_bytes` for each label.  Longer
+documents are trained in pieces of `PIECE` lines, and pieces of similar length together, so that the
+memory follows the lines of the sample.  Everything else covers all rows.
 
 Defined results: a null or empty text has no words and fails the base rules; with no label of one of
 the two kinds every line counts as content; repeated rows give repeated results; other columns are
@@ -16,14 +18,15 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pulsegrain.runtime import ship
 
-from .common import map_batches
+from .common import labelled_sample, map_batches
 from .textkit import SPACE, _class, blocks, gram_hashes, mix, row_of, span_hashes, spans
 
 NEWLINE = _class((10, 10))
@@ -48,6 +51,8 @@ BINS = {
     "shape": [1, 2, 3],
 }
 WIDTH = 8
+PIECE = 256  #: lines of a document that are trained as one chain
+CELLS = 1 << 16  #: lines of a group of pieces, with its padding
 
 
 def _sums(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -127,47 +132,21 @@ class Chain:
         return self.emit[features].sum(axis=1) + self.bias
 
     def fit(self, docs: list[tuple[int, np.ndarray]], prior: float = 0.5, rounds: int = 60, rate: float = 0.5, ridge: float = 1e-3) -> Chain:
-        """Maximum likelihood by forward-backward over all sample documents at once; prior: share of good documents."""
+        """Maximum likelihood by forward-backward over all sample documents; prior: share of good documents."""
         docs = [(y, f) for y, f in docs if len(f)]
-        if len({y for y, _ in docs}) < 2:
+        labels = np.array([y for y, _ in docs])
+        if len(set(labels.tolist())) < 2:
             return self
-        length = np.array([len(f) for _, f in docs])
-        longest = int(length.max())
-        flat = np.concatenate([f for _, f in docs]).astype(np.int64)
-        doc = np.repeat(np.arange(len(docs)), length)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
-        label = np.array([y for y, _ in docs])
-        share = np.where(label == 1, prior / max(1, (label == 1).sum()), (1 - prior) / max(1, (label == 0).sum())) / length  # documents of a label weigh alike
-        live = np.arange(longest)[None, :] < length[:, None]
+        of_label = {0: (1 - prior) / (labels == 0).sum(), 1: prior / (labels == 1).sum()}  # documents of a label weigh alike
+        pieces = [(y, of_label[y] / len(f), f[k : k + PIECE]) for y, f in docs for k in range(0, len(f), PIECE)]
+        groups = [Pieces(part) for part in grouped(pieces)]
         momentum = [np.zeros_like(self.emit), 0.0, np.zeros((2, 2))]
         for _ in range(rounds):
-            grid = np.zeros((len(docs), longest))
-            grid[doc, place] = self.emit[flat].sum(axis=1) + self.bias
-            score = np.stack([np.zeros_like(grid), grid], axis=2)
-            ahead = np.zeros((longest, len(docs), 2))
-            behind = np.zeros((longest, len(docs), 2))
-            ahead[0] = score[:, 0]
-            for t in range(1, longest):
-                new = np.logaddexp(ahead[t - 1][:, :1] + self.step[0], ahead[t - 1][:, 1:] + self.step[1]) + score[:, t]
-                ahead[t] = np.where(live[:, t, None], new, ahead[t - 1])
-            total = np.logaddexp(ahead[-1][:, 0], ahead[-1][:, 1])
-            move = np.zeros((2, 2))
-            for t in range(longest - 2, -1, -1):
-                tail = behind[t + 1] + score[:, t + 1]
-                new = np.logaddexp(self.step[:, 0] + tail[:, :1], self.step[:, 1] + tail[:, 1:])
-                on = live[:, t + 1]
-                behind[t] = np.where(on[:, None], new, 0.0)
-                joint = np.exp(ahead[t][:, :, None] + self.step[None] + tail[:, None, :] - total[:, None, None])
-                move -= (joint * (share * on)[:, None, None]).sum(axis=0)
-            steps = share * (length - 1)
-            move[1, 1] += steps[label == 1].sum()
-            move[0, 0] += steps[label == 0].sum()
-            content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[None])[place, doc]
-            error = (label[doc] - content) * share[doc]
-            grad = np.zeros_like(self.emit)
-            for k in range(flat.shape[1]):
-                grad += np.bincount(flat[:, k], weights=error, minlength=len(grad))
-            for k, g in enumerate((grad - ridge * self.emit, float(error.sum()), move - ridge * self.step)):
+            grad, bias, move = np.zeros_like(self.emit), 0.0, np.zeros((2, 2))
+            for group in groups:
+                g, e, m = group.gradient(self)
+                grad, bias, move = grad + g, bias + e, move + m
+            for k, g in enumerate((grad - ridge * self.emit, bias, move - ridge * self.step)):
                 momentum[k] = 0.9 * momentum[k] + g
             self.emit = self.emit + rate * 4 * momentum[0]
             self.bias += rate * momentum[1]
@@ -202,18 +181,67 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Chain:
+def grouped(pieces: list[tuple[int, float, np.ndarray]]) -> Iterator[list[tuple[int, float, np.ndarray]]]:
+    """Pieces of similar length in groups: padded to the longest, a group has at most CELLS lines and twice its own."""
+    pieces = sorted(pieces, key=lambda x: -len(x[2]))
+    at = 0
+    while at < len(pieces):
+        longest = len(pieces[at][2])
+        to = at + 1
+        while to < len(pieces) and (to + 1 - at) * longest <= CELLS and 2 * len(pieces[to][2]) >= longest:
+            to += 1
+        yield pieces[at:to]
+        at = to
+
+
+class Pieces:
+    """Pieces of labelled documents as one padded grid: forward-backward and the gradient of the likelihood."""
+
+    def __init__(self, pieces: list[tuple[int, float, np.ndarray]]):
+        self.length = np.array([len(f) for _, _, f in pieces])
+        self.longest = int(self.length.max())
+        self.flat = np.concatenate([f for _, _, f in pieces]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(pieces)), self.length)
+        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        self.label = np.array([y for y, _, _ in pieces])
+        self.share = np.array([w for _, w, _ in pieces])
+        self.live = np.arange(self.longest)[None, :] < self.length[:, None]
+
+    def gradient(self, chain: Chain) -> tuple[np.ndarray, float, np.ndarray]:
+        """Of the emission scores, the bias and the transition scores."""
+        n, step = len(self.length), chain.step
+        grid = np.zeros((n, self.longest))
+        grid[self.doc, self.place] = chain.scores(self.flat)
+        score = np.stack([np.zeros_like(grid), grid], axis=2)
+        ahead, behind = np.zeros((self.longest, n, 2)), np.zeros((self.longest, n, 2))
+        ahead[0] = score[:, 0]
+        for t in range(1, self.longest):
+            new = np.logaddexp(ahead[t - 1][:, :1] + step[0], ahead[t - 1][:, 1:] + step[1]) + score[:, t]
+            ahead[t] = np.where(self.live[:, t, None], new, ahead[t - 1])
+        total = np.logaddexp(ahead[-1][:, 0], ahead[-1][:, 1])
+        move = np.zeros((2, 2))
+        for t in range(self.longest - 2, -1, -1):
+            tail = behind[t + 1] + score[:, t + 1]
+            on = self.live[:, t + 1]
+            behind[t] = np.where(on[:, None], np.logaddexp(step[:, 0] + tail[:, :1], step[:, 1] + tail[:, 1:]), 0.0)
+            joint = np.exp(ahead[t][:, :, None] + step[None] + tail[:, None, :] - total[:, None, None])
+            move -= (joint * (self.share * on)[:, None, None]).sum(axis=0)
+        steps = self.share * (self.length - 1)
+        move[1, 1] += steps[self.label == 1].sum()
+        move[0, 0] += steps[self.label == 0].sum()
+        content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[None])[self.place, self.doc]
+        error = (self.label[self.doc] - content) * self.share[self.doc]
+        grad = np.zeros_like(chain.emit)
+        for k in range(self.flat.shape[1]):
+            grad += np.bincount(self.flat[:, k], weights=error, minlength=len(grad))
+        return grad, float(error.sum()), move
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> Chain:
     """Fits the chain on at most 2 x sample_docs labelled documents, chosen by a hash of their id."""
-    chosen = None
-    for value in (0, 1):
-        part = labels.where(F.col("quality") == value).select(F.col(id_column).alias("_id"), F.lit(value).alias("_y")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = [(r["_id"], r["_y"]) for r in chosen.collect()]
-    seen = {r["quality"]: r["count"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
-    if len(seen) < 2:
+    sample, seen = labelled_sample(docs, labels, "quality", sample_docs, sample_bytes, id_column, text_column)
+    if sample is None:
         return Chain()
-    picked = F.broadcast(docs.sparkSession.createDataFrame(rows, f"_id {docs.schema[id_column].dataType.simpleString()}, _y int"))
-    sample = docs.where(F.length(text_column).between(1, sample_chars)).join(picked, F.col(id_column) == F.col("_id")).select("_y", text_column)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -223,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_ch
             out += [found["features"][at[r] : at[r + 1]].tobytes() for r in range(len(offsets) - 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_y", "features"])
 
-    got = map_batches(sample, ["_y", text_column], "_y int, features binary", run).collect()
+    got = map_batches(sample, ["_y", "_text"], "_y int, features binary", run).collect()
     return Chain().fit([(r["_y"], np.frombuffer(bytes(r["features"]), np.int16).reshape(-1, len(BINS))) for r in sorted(got, key=lambda r: (r["_y"], bytes(r["features"])))], seen[1] / (seen[0] + seen[1]))
 
 

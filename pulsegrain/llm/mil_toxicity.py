@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: sentence scores combined by noisy-or.
 
 A document is a bag of sentences.  Each sentence has a logistic score over its distinct hashed words
-and word beginnings, so that unseen forms of an offending word count as well, and a document is toxic with probability 1 - prod(1 - p(sentence)).  The word weights are trained
-through the noisy-or from document labels alone, so that the same weights then say which sentences
-offend (`sentence_scores`).
+and word beginnings, so that unseen forms of an offending word count as well, and a document is toxic
+with probability 1 - prod(1 - p(sentence)).  The word weights are trained through the noisy-or from
+document labels alone, so that the same weights then say which sentences offend (`sentence_scores`).
 
-The weights are fitted on a bounded sample of labelled documents (`sample_docs` of each label, texts
-of at most `sample_chars` characters); every document is scored over its whole text.
+The weights are fitted on a bounded sample of labelled documents: `sample_docs` of each label in the
+order of a hash of their ids, whole texts, as long as they add up to `sample_bytes` for each label.
+Every document is scored over its whole text.
 
 Defined results: null and empty texts have no sentence and score 0; with labels of one kind only
 every score is the share of toxic labels (0 without labels); labels with a null id or a label other
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, map_batches
+from .common import crc32_text, labelled_sample, map_batches
 from .textkit import LOWER, NON_WORD, blocks, mix, row_of, span_hashes, spans
 
 BITS = 20  #: words are hashed to this many bits
@@ -124,19 +125,12 @@ def fit(bags: list[tuple[int, np.ndarray]], prior: float, rounds: int = FOLD, ra
     return Model(full, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_chars: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_bytes: int = 8 << 20, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Fits the model on at most 2 x sample_docs labelled documents, chosen by a hash of their id."""
-    valid = labels.where(F.col("toxic").isin(0, 1) & F.col(id_column).isNotNull())
-    seen = {r["toxic"]: r["count"] for r in valid.groupBy("toxic").count().collect()}
+    sample, seen = labelled_sample(docs, labels, "toxic", sample_docs, sample_bytes, id_column, text_column)
     prior = seen.get(1, 0) / max(1, sum(seen.values()))
-    rows = []
-    for value in seen:
-        part = valid.where(F.col("toxic") == value).select(id_column).distinct().orderBy(F.xxhash64(id_column), id_column).limit(sample_docs)
-        rows += [(r[0], value) for r in part.collect()]
-    if len(seen) < 2:
+    if sample is None:
         return Model(np.zeros(1 << BITS), 0.0, prior)
-    picked = F.broadcast(docs.sparkSession.createDataFrame(rows, f"_id {docs.schema[id_column].dataType.simpleString()}, _y int"))
-    sample = docs.where(F.length(text_column).between(1, sample_chars)).join(picked, F.col(id_column) == F.col("_id")).select("_y", text_column)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -150,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2500, sample_ch
             out += [flat[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(offsets) - 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_y", "bag"])
 
-    bags = [(r["_y"], np.frombuffer(bytes(r["bag"]), np.int32)) for r in map_batches(sample, ["_y", text_column], "_y int, bag binary", run).toLocalIterator() if r["bag"]]
+    bags = [(r["_y"], np.frombuffer(bytes(r["bag"]), np.int32)) for r in map_batches(sample, ["_y", "_text"], "_y int, bag binary", run).toLocalIterator() if r["bag"]]
     bags.sort(key=lambda x: (x[0], x[1].tobytes()))
     return fit(bags, prior)
 

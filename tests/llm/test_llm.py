@@ -18,12 +18,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrain.llm import bloom_lm, count_rtree, disclosure_pii, html_extraction, line_crf, line_runs, mil_toxicity, registry, sentencepiece_bpe, suffix_decontam, textkit, url_templates
+from pulsegrain.llm import bloom_lm, common, count_rtree, disclosure_pii, html_extraction, line_crf, line_runs, mil_toxicity, registry, sentencepiece_bpe, suffix_decontam, textkit, url_templates
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, batch string, _lines string"
+CLASH = ["node", "batch", "_lines", "_id", "_y", "_nth", "_text", "_doc", "_version", "_gone", "_row", "_n_lines", "hits", "items", "key", "comp", "chunk", "kind", "bucket", "h", "size", "spans", "start", "term", "rare", "base", "score", "features"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 LONG = "A line of more than forty code points, é, that several texts hold."
 
 
@@ -42,7 +43,7 @@ def docs(spark):
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(len(words))] = f"z{rng.randrange(30)}"
         rows.append((k, " ".join(words) + (f"\n{LONG}" if k % 4 == 0 else "")))
-    return spark.createDataFrame([(i, t, None, None, None, 5, "b", None) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, None, None, *CLASH) for i, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +114,49 @@ def test_toxicity_on_nothing(docs, empty, spark):
     assert mil_toxicity.score(empty, model).count() == 0
 
 
+@pytest.fixture(scope="module")
+def odd_labels(spark):
+    """Labels with nulls, repeats, contradictions, other values and unknown ids."""
+    rows = [(k, k % 2, (k // 2) % 2) for k in range(-3, 60)] + [(None, 1, 1), (8, 0, 1), (8, 1, 0), (9, None, None), (10, 7, 7)]
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, quality int, toxic int, _id string, _text string")
+
+
+def test_training_takes_whole_texts_up_to_a_number_and_bytes(docs, odd_labels, spark):
+    rows = [(k, ("good " if k % 2 else "bad ") * (1 if k != 10 else 50_000)) for k in range(40)] + [(11, "good again"), (11, None)]
+    texts = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, _text string")
+    take = lambda n, size: sorted((r["_y"], len(r["_text"])) for r in common.labelled_sample(texts, odd_labels, "quality", n, size, "doc_id", "text")[0].collect())
+    every = take(100, 1 << 20)
+    assert (0, 200_000) in every and len(every) == 41 and every == take(100, 1 << 30)
+    assert len(take(3, 1 << 20)) <= 6 and len(take(100, 40)) < 20
+    assert common.labelled_sample(texts, odd_labels.where("quality = 1"), "quality", 9, 9, "doc_id", "text")[0] is None
+
+
+def test_training_on_odd_rows(docs, empty, odd_labels):
+    model, chain = mil_toxicity.train(docs, odd_labels), line_crf.train(docs, odd_labels)
+    assert mil_toxicity.score(docs, model).count() == docs.count() == line_crf.judge(docs, chain).count()
+    assert mil_toxicity.train(empty, odd_labels) and line_crf.train(empty, odd_labels)
+
+
+def test_toxicity_equals_a_plain_restatement(docs, odd_labels):
+    model = mil_toxicity.train(docs, odd_labels)
+    rows = [r for r in pairs(docs) if r[0] is not None and r[0] > 9]
+
+    def feature(piece: bytes, size: int) -> int:
+        data = np.frombuffer(piece, np.uint8)
+        h = textkit.span_hashes(data, np.array([0]), np.array([len(data)]))
+        return int((textkit.mix(h + np.uint64(size)) if size else h)[0] >> np.uint64(64 - mil_toxicity.BITS))
+
+    got = {r["doc_id"]: r["score"] for r in mil_toxicity.score(docs, model).collect()}
+    for d, t in rows:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", t):
+            words = [w.encode() for w in WORD.findall(sentence.translate(LOW))]
+            if words:
+                names = {feature(w, 0) for w in words} | {feature(w[:n], n) for w in words for n in mil_toxicity.PREFIXES if len(w) > n}
+                clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(float(model.weights[x]) for x in names))))
+        assert math.isclose(got[d], 1 - clean, rel_tol=1e-4, abs_tol=1e-9)
+
+
 # --- 2 urls -------------------------------------------------------------------------------------
 
 
@@ -474,6 +518,76 @@ def test_viterbi_equals_enumeration():
         assert got.tolist() == [best >> k & 1 for k in range(n)] * 2
 
 
+def test_chain_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    lines = lambda n: np.stack([rng.integers(0, line_crf.WIDTH, n) + line_crf.WIDTH * i for i in range(len(line_crf.BINS))], axis=1)
+    pieces = [(1, 0.3, lines(3)), (0, 0.5, lines(5)), (0, 0.2, lines(1))]
+    chain = line_crf.Chain()
+    chain.emit, chain.step = rng.normal(0, 0.3, len(chain.emit)), rng.normal(0, 0.3, (2, 2))
+
+    def likelihood() -> float:
+        total = 0.0
+        for y, weight, f in pieces:
+            s, n = chain.scores(f), len(f)
+            path = lambda c, s=s, n=n: sum(s[k] for k in range(n) if c >> k & 1) + sum(chain.step[c >> (k - 1) & 1, c >> k & 1] for k in range(1, n))
+            total += weight * (path((1 << n) - 1 if y else 0) - np.logaddexp.reduce([path(c) for c in range(1 << n)]))
+        return total
+
+    emit, bias, step = line_crf.Pieces(pieces).gradient(chain)
+    for place, want in ((3, emit[3]), (17, emit[17])):
+        chain.emit[place] += 1e-5
+        up = likelihood()
+        chain.emit[place] -= 2e-5
+        assert math.isclose((up - likelihood()) / 2e-5, want, abs_tol=1e-6)
+        chain.emit[place] += 1e-5
+    for at in ((0, 1), (1, 1)):
+        chain.step[at] += 1e-5
+        up = likelihood()
+        chain.step[at] -= 2e-5
+        assert math.isclose((up - likelihood()) / 2e-5, step[at], abs_tol=1e-6)
+        chain.step[at] += 1e-5
+
+
+def test_training_groups_follow_the_lines_not_the_longest_document():
+    rng = np.random.default_rng(1)
+    docs = [(k % 2, np.zeros((n, len(line_crf.BINS)), np.int16)) for k, n in enumerate([10_000, *rng.integers(1, 12, 3000).tolist()])]
+    pieces = [(y, 1.0, f[k : k + line_crf.PIECE]) for y, f in docs for k in range(0, len(f), line_crf.PIECE)]
+    groups = list(line_crf.grouped(pieces))
+    assert sum(len(g) for g in groups) == len(pieces) and len(groups) < 60
+    assert sum(len(g) * max(len(f) for _, _, f in g) for g in groups) <= 2 * sum(len(f) for _, f in docs)
+
+
+def test_kept_equals_a_plain_restatement(spark, data, sample):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    chain = line_crf.train(sample, labels)
+    got = {r["doc_id"]: r for r in line_crf.judge(sample, chain).collect()}
+    for d, t in pairs(sample):
+        w, lines = SPACE_WORD.findall(t or ""), [x for x in (t or "").split("\n") if SPACE_WORD.search(x)]
+        if got[d]["base_failed"] or not lines:
+            assert not got[d]["kept"]
+            continue
+        three = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if three[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        s, sizes, at, seen = [], [], 0, set()
+        for line in lines:
+            words = SPACE_WORD.findall(line)
+            ink, n = sum(len(x.encode()) for x in words), len(words)
+            share = lambda table, line=line: sum(table[b] for b in line.encode())
+            values = [n, ink / n, share(line_crf.SYMBOL) / n, share(line_crf.CAPITAL) / ink, share(line_crf.DIGIT) / ink, share(line_crf.MARKS) / n, sum(k in covered for k in range(at, at + n)) / n, (words[-1][-1] in ".!?") + 2 * (line in seen)]
+            s.append(chain.bias + sum(chain.emit[line_crf.WIDTH * i + sum(v >= b for b in edges)] for i, (v, edges) in enumerate(zip(values, line_crf.BINS.values(), strict=True))))
+            sizes.append(n)
+            at += n
+            seen.add(line)
+        best = [(0.0, []), (s[0], [0])]  # per last state: score and the content lines
+        for k in range(1, len(s)):
+            zero = max((best[0][0] + chain.step[0, 0], best[0][1]), (best[1][0] + chain.step[1, 0], best[1][1]), key=lambda x: x[0])
+            one = max((best[1][0] + chain.step[1, 1], best[1][1]), (best[0][0] + chain.step[0, 1], best[0][1]), key=lambda x: x[0])
+            best = [zero, (one[0] + s[k], [*one[1], k])]
+        marked = max(reversed(best), key=lambda x: x[0])[1]
+        assert math.isclose(got[d]["content_share"], sum(sizes[k] for k in marked) / len(w)), d
+        assert got[d]["kept"] == (got[d]["content_share"] >= 0.5)
+
+
 def test_quality_separates_labels(spark, data):
     got = registry.op9_quality_rules(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) >= 0.9 * len(got)
