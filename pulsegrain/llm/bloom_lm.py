@@ -2,7 +2,8 @@
 
 Counting: every Arrow batch packs its distinct uni- and bigram hashes with their counts into one
 binary row per hash bucket (map-side combine), so the shuffle carries about nine bytes per n-gram
-instead of a row.  Buckets are summed with numpy.
+instead of a row.  Buckets are summed with numpy; their number follows the bytes of text
+(`BUCKET_BYTES`), so that one fits a worker at every size.
 
 Filter: an n-gram counted c times enters the filter once for each level 1..q with
 q = 1 + floor(log2 c).  Its size follows the number of entries at every size of the corpus, so the rate
@@ -12,9 +13,10 @@ never gathered: the distinct n-grams of each chunk of texts are dealt to the sli
 there, and their levels brought back to the chunk.  Both ways probe the same bits.
 
 Scoring: levels are probed until one is missing, which gives the count back within a factor of two.
-log10 P(w | v) interpolates the bigram estimate with the unigram one.  Beside it the exact
-add-one-tenth unigram score: counts of the most frequent words (at most `head_words`, chosen by a
-count threshold) are broadcast as sorted arrays, the rarer tokens are joined with their counts.
+P(w | v) = (c(v w) + strength P(w)) / (c(v) + strength): the bigram count, smoothed by the unigram
+probability as if `strength` further tokens had followed v.  Beside it the exact add-one-tenth unigram
+score: counts of the most frequent words (at most `head_words`, chosen by a count threshold, so that
+no other word is frequent) are broadcast as sorted arrays, the rarer tokens are joined with their counts.
 
 Defined results: a null or empty text is the end token alone; rows that repeat a doc_id are scored
 and counted one by one; a null doc_id is never held out; with no training token every count is 0; an
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pulsegrain.runtime import ship
 
-from .common import crc32_text, discard, map_batches, release, written
+from .common import crc32_text, discard, map_batches, release, text_bytes, written
 from .textkit import LOWER, SPACE, blocks, mix, span_hashes, spans, stream
 
 END = stream(9, 1)[0]  #: the hash that stands for the end token
@@ -42,6 +44,7 @@ UNI, BI = 0, 1
 ALPHA = 0.1
 PACK_ROWS = 5000  #: documents whose n-grams are combined before they are shuffled
 CHUNK_BYTES = 1 << 21  #: text whose n-grams are probed together where the filter is not broadcast
+BUCKET_BYTES = 1 << 22  #: text whose n-grams a bucket holds
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,21 +166,20 @@ def estimate(levels: np.ndarray) -> np.ndarray:
 
 
 def shape_filter(counted: DataFrame, buckets: int, entry_bits: int = 8) -> Filter:
-    """A filter without its bits, of `entry_bits` an entry."""
+    """A filter without its bits, of `entry_bits` an entry; each bucket is a slice."""
     entries = counted.agg(F.sum("entries")).first()[0] or 0
-    slices = min(buckets, 1 << 10)
-    return Filter(slices, max(64, -(-entries * entry_bits // slices // 8) * 8))
+    return Filter(buckets, max(64, -(-entries * entry_bits // buckets // 8) * 8))
 
 
-def build_filter(counted: DataFrame, buckets: int, whole: Filter) -> Filter:
+def build_filter(counted: DataFrame, whole: Filter) -> Filter:
     """Slices are built per bucket on the executors; the driver only lays them side by side."""
-    slices, merge = whole.slices, buckets // whole.slices
+    slices = whole.slices
 
     def fill(key: tuple, table: pa.Table) -> pa.Table:
         grams = [(k.as_py(), np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)) for k, h, c in zip(table.column("kind"), table.column("h"), table.column("c"), strict=True)]
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([whole.build(grams)], pa.binary())})
 
-    rows = counted.select((F.col("bucket") / merge).cast("int").alias("slice"), "kind", "h", "c").groupBy("slice").applyInArrow(fill, "slice int, bits binary").toLocalIterator()
+    rows = counted.select(F.col("bucket").alias("slice"), "kind", "h", "c").groupBy("slice").applyInArrow(fill, "slice int, bits binary").toLocalIterator()
     width = whole.slice_bits // 8
     whole.bits = np.zeros(width * slices, np.uint8)
     for row in rows:
@@ -207,9 +209,8 @@ def ask_levels(docs: DataFrame, buckets: int, id_column: str, text_column: str)
     return written(map_batches(numbered, ["_row", id_column, text_column], f"chunk long, _row long, {id_column} {kind}, {text_column} string, kind int, bucket int, h binary", ask), "lm-asked")
 
 
-def join_levels(asked: DataFrame, counted: DataFrame, buckets: int, whole: Filter) -> DataFrame:
+def join_levels(asked: DataFrame, counted: DataFrame, whole: Filter) -> DataFrame:
     """(chunk, kind, bucket, levels): a byte for each n-gram asked, from the slice that its bucket fills."""
-    merge = buckets // whole.slices
 
     def probe(table: pa.Table) -> pa.Table:
         grams, asks = [], []
@@ -224,15 +225,15 @@ def join_levels(asked: DataFrame, counted: DataFrame, buckets: int, whole: Filte
         return pa.table({"chunk": pa.array([a[0] for a in asks], pa.int64()), "kind": pa.array([a[1] for a in asks], pa.int32()), "bucket": pa.array([a[2] for a in asks], pa.int32()), "levels": pa.array(found, pa.binary())})
 
     asks = asked.where(F.col("kind").isNotNull()).select("chunk", "kind", "bucket", "h", F.lit(None).cast("binary").alias("c"))
-    sides = asks.unionByName(counted.select(F.lit(None).cast("long").alias("chunk"), "kind", "bucket", "h", "c")).withColumn("slice", (F.col("bucket") / merge).cast("int"))
-    return written(sides.groupBy("slice").applyInArrow(probe, "chunk long, kind int, bucket int, levels binary"), "lm-levels")
+    sides = asks.unionByName(counted.select(F.lit(None).cast("long").alias("chunk"), "kind", "bucket", "h", "c"))
+    return written(sides.groupBy("bucket").applyInArrow(probe, "chunk long, kind int, bucket int, levels binary"), "lm-levels")
 
 
 class Scorer:
     """What a worker needs: the filter (None where levels are joined), corpus sizes and the counts of frequent words."""
 
-    def __init__(self, grams: Filter | None, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, blend: float):
-        self.grams, self.n, self.v, self.head, self.head_counts, self.blend = grams, n, v, head, head_counts, blend
+    def __init__(self, grams: Filter | None, n: int, v: int, head: np.ndarray, head_counts: np.ndarray, strength: float):
+        self.grams, self.n, self.v, self.head, self.head_counts, self.strength = grams, n, v, head, head_counts, strength
 
     def log_probability(self, words: np.ndarray, firsts: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 P of each token after the one before it; `levels` of the distinct uni- and bigrams in order, else probed."""
@@ -243,8 +244,7 @@ class Scorer:
         before = np.r_[0.0, count[:-1]]
         before[firsts[:-1]] = count[firsts[1:] - 1]  # a row's last token is the end token
         unigram = (np.minimum(count, self.n) + ALPHA) / (self.n + ALPHA * (self.v + 1))
-        bigram = np.where(before > 0, np.minimum(both, before) / np.maximum(before, 1), unigram)
-        return np.log10(self.blend * bigram + (1 - self.blend) * unigram)
+        return np.log10((np.minimum(both, before) + self.strength * unigram) / (before + self.strength))
 
     def frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact counts of the tokens that are in the head, and which tokens are."""
@@ -256,11 +256,12 @@ class Scorer:
 
 
 def _head(uni: DataFrame, head_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """All words counted at least so often that no more than head_words are."""
+    """All words counted at least so often that no more than head_words are; counts are compared by their leading 7 bits."""
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)] or [np.zeros(0, np.int64)])
-        value, n = np.unique(np.minimum(c, 1 << 14), return_counts=True)
+        low = np.maximum(_levels(c) - 7, 0)
+        value, n = np.unique(c >> low << low, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["value", "n"])
 
     total, least = 0, None
@@ -287,27 +288,27 @@ def held_out(id_column: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(crc32_text(id_column), F.lit(10)) == 0, F.lit(False))
 
 
-def score(docs: DataFrame, max_bytes: int = 1 << 28, head_words: int = 1 << 19, blend: float = 0.6, buckets: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, max_bytes: int = 1 << 28, head_words: int = 1 << 19, strength: float = 20.0, entry_bits: int = 8, buckets: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Trains on the rows that are not held out and scores every row: the contract's columns."""
     spark = docs.sparkSession
     ship(spark)
     if buckets is None:
-        buckets = 1 << max(7, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+        buckets = 1 << max(7, math.ceil(math.log2(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs, text_column)[1] / BUCKET_BYTES))))
     counted = count_ngrams(docs.where(~held_out(id_column)), buckets, text_column)
     uni = counted.where(F.col("kind") == UNI)
     size = uni.agg(F.sum("tokens"), F.sum("n")).first()
     n, v = size[0] or 0, size[1] or 0
-    whole = shape_filter(counted, buckets)
+    whole = shape_filter(counted, buckets, entry_bits)
     gathered = whole.slices * whole.slice_bits <= max_bytes * 8
     if gathered:
-        grams = build_filter(counted, buckets, whole)
+        grams = build_filter(counted, whole)
     else:
         grams, asked = None, ask_levels(docs, buckets, id_column, text_column)
-        levels = join_levels(asked, counted, buckets, whole)
+        levels = join_levels(asked, counted, whole)
     uni = written(uni, "unigram-counts")
     discard(counted)
     release(spark)
-    held = spark.sparkContext.broadcast(Scorer(grams, n, v, *_head(uni, head_words), blend))
+    held = spark.sparkContext.broadcast(Scorer(grams, n, v, *_head(uni, head_words), strength))
     kind = docs.schema[id_column].dataType.simpleString()
     scale = math.log10(n + ALPHA * (v + 1))
     shift = 64 - int(math.log2(buckets))

@@ -459,6 +459,34 @@ def test_base_score_is_exact(docs, head):
         assert match[0]["held_out"] == (d is not None and zlib.crc32(str(d).encode()) % 10 == 0) and match[0]["score"] < 0
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 28, 1])
+def test_score_equals_a_plain_restatement(spark, sample, max_bytes):
+    """With so many bits an entry that no level is answered by mistake."""
+    rows = pairs(sample)
+    cut = lambda t: [*(t or "").encode().lower().split(), b"\0end"]
+    uni, bi = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 10:
+            uni.update(cut(t))
+            bi.update(zip([b"\0end", *cut(t)], cut(t), strict=False))
+    n, v, middle = sum(uni.values()), len(uni), lambda c: 0.75 * 2 ** c.bit_length() - 0.5 * (c == 1) if c else 0.0
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.score(sample, max_bytes=max_bytes, entry_bits=4096, buckets=128).collect()}
+    for d, t in rows:
+        want = 0.0
+        for before, w in zip([b"\0end", *cut(t)], cut(t), strict=False):
+            p = (min(middle(uni[w]), n) + 0.1) / (n + 0.1 * (v + 1))
+            want += math.log10((min(middle(bi[before, w]), middle(uni[before])) + 20 * p) / (middle(uni[before]) + 20))
+        assert math.isclose(got[d], want, rel_tol=1e-3), d
+
+
+def test_the_head_holds_the_most_frequent_words(spark):
+    rows = [(k, "x " * 30_000 + "y " * 17_000 + "z " * 16_500 + f"w{k}") for k in range(1, 6)]
+    counted = bloom_lm.count_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), 128)
+    uni = counted.where("kind = 0")
+    assert [sorted(bloom_lm._head(uni, k)[1].tolist()) for k in (1, 2, 3)] == [[150_000], [85_000, 150_000], [82_500, 85_000, 150_000]]
+    assert len(bloom_lm._head(uni, 100)[0]) == 9
+
+
 def test_filter_levels():
     keys = textkit.stream(4, 4000)
     counts = np.random.default_rng(1).integers(1, 500, 4000)
