@@ -72,4 +72,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_runs.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": suffix_decontam.ORACLE_SQL, "op10_line_dedup": line_runs.ORACLE_SQL}

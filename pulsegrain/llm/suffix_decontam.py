@@ -1,122 +1,138 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Documents are shards of about a megabyte.  Each shard gets a suffix array over its words, sparse in
-that only suffixes whose first words start some benchmark window are kept (no other suffix can hold
-a match), sorted by their following words.  Every benchmark suffix is binary-searched in it, one word
-deeper at a time, which yields the longest verbatim match and all its places.  Places where the
-match is as long as the window mark document words as hit.
+Documents are shards of about a megabyte.  Each shard gets a suffix array over its words; only suffixes
+whose first two words begin some benchmark suffix are in it, as no other can hold a match.  Every
+suffix of every benchmark item is binary-searched in it, word by word; the places that share at least
+`window` words with it (or the whole of a shorter item) are followed to where the texts part, which
+gives the longest verbatim matches with their places in document and item.  Document words inside a
+match are hit, and affected documents are removed.
 
 A window is `window` consecutive words of an item; an item with fewer words, but some, is one
 window.  Words are runs of letters and digits after A-Z are lower-cased; bytes from 0x80 on belong
-to words.  The benchmark is read in blocks of bounded size, so that what travels to the workers has
-a proven bound; with more blocks the documents are searched once for each.
-
-Defined results: null and empty texts have no words, no hits and are clean; a document's words never
-join with the next document's; repeated rows give repeated results; a repeated item_id counts once
-per document; null item ids are left out of the list of items but their windows count as hits; other
-columns are not read.
+to words.  The benchmark is read in blocks of `block_chars`, so that what travels to the workers has a
+proven bound; with k blocks the documents are searched k times, row by row, and written in between.
+
+Defined results: null and empty texts have no words, no matches and are clean; a document's words never
+join with the next document's; repeated rows give repeated results, and every row is judged by its own
+text whatever its id; a repeated item_id counts once per document; null item ids are left out of the
+list of items but their matches count; other columns are not read, and stay as they are in
+remove_contaminated().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from pulsegrain.runtime import ship
+
+from .common import discard, map_batches, trim, written
 from .textkit import LOWER, NON_WORD, blocks, mix, row_of, span_hashes, spans
 
 BLOCK_CHARS = 8 << 20  #: most benchmark text that is sent to the workers at once
+PAIRS = 1 << 20  #: places of test suffixes that are looked at together
+MATCHES = "array<struct<at:long,length:long,item:string,item_at:long>>"
 
 
 class TestSuffixes:
-    """The benchmark block: word hashes and, for each window-starting suffix, item and length needed."""
+    """A benchmark block: word hashes and, for each suffix that can hold a match, its item and the words it needs."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window = window
         self.names = [name for name, _ in items]
-        words, item, need, rest = [], [], [], []
-        column = pa.array([text for _, text in items], pa.large_string())
-        at = 0
-        for first_row, end_row, data, offsets in blocks(column):
+        words, length = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in blocks(pa.array([text for _, text in items], pa.large_string())):
             data = LOWER[data]
             starts, ends, firsts = spans(data, offsets, NON_WORD)
             words.append(span_hashes(data, starts, ends))
-            for r in range(end_row - first_row):
-                n = int(firsts[r + 1] - firsts[r])
-                for k in range(max(1, n - window + 1) if n else 0):
-                    item.append(first_row + r)
-                    need.append(min(n, window))
-                    rest.append(at + int(firsts[r]) + k)
-            at += len(starts)
-        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        self.item, self.need, self.start = (np.array(x, np.int64) for x in (item, need, rest))
-        # windows with the same words are searched once; `owners` lists the items of each
-        if len(self.start):
-            key = self._window_keys()
-            _, one, self.same = np.unique(key, return_index=True, return_inverse=True)
-            owner = np.unique(np.stack([self.same, self.item]), axis=1)
-            self.owner_item = owner[1]
-            self.owner_at = np.searchsorted(owner[0], np.arange(len(one) + 1))
-            self.start, self.need = self.start[one], self.need[one]
-            self.pair_first = {}
-            self.heads1 = np.unique(self.words[self.start])
-            two = self.need >= 2
-            self.heads2 = np.unique(mix(self.words[self.start[two]]) + self.words[self.start[two] + 1])
-            self.single = np.unique(self.words[self.start[~two]])
-
-    def _window_keys(self) -> np.ndarray:
-        key = self.need.astype(np.uint64)
-        for k in range(self.window):
-            inside = self.need > k
-            key[inside] = mix(key[inside]) + self.words[self.start[inside] + k]
-        return mix(key)
-
-
-def _shard(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's first word; (window, word position) pairs of every occurrence."""
-    data = LOWER[data]
-    starts, ends, firsts = spans(data, offsets, NON_WORD)
-    none = np.zeros(0, np.int64)
-    if not len(starts) or not len(tests.start):
-        return firsts, none, none
-    words = span_hashes(data, starts, ends)
-    left = np.repeat(firsts[1:], np.diff(firsts)) - np.arange(len(words))  # words to the end of the row
-    keep = _among(mix(words[:-1]) + words[1:], tests.heads2)
-    keep = np.r_[keep, False] & (left >= 2)
-    if len(tests.single):
-        keep |= _among(words, tests.single)
-    suffix = np.flatnonzero(keep)
-    if not len(suffix):
-        return firsts, none, none
-    padded = np.r_[words, np.zeros(tests.window, np.uint64)]
-
-    def word(at: np.ndarray, depth: int) -> np.ndarray:
+            length.append(np.diff(firsts))
+        self.words, length = np.concatenate(words), np.concatenate(length)
+        item = np.repeat(np.arange(len(length)), length)
+        first = (np.cumsum(length) - length)[item]
+        self.left = first + length[item] - np.arange(len(item))  # words to the end of the item
+        need = np.minimum(length, window)[item]
+        self.start = np.flatnonzero(self.left >= need)  # later suffixes are shorter than any window
+        self.item, self.need, self.first = item[self.start], need[self.start], first[self.start]
+        two = self.start[self.need >= 2]
+        self.pairs = np.unique(mix(self.words[two]) + self.words[two + 1])
+        self.single = np.unique(self.words[self.start[self.need == 1]])
+
+
+class Shard:
+    """Words of some documents and their suffix array."""
+
+    def __init__(self, tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray):
+        data = LOWER[data]
+        starts, ends, self.firsts = spans(data, offsets, NON_WORD)
+        self.tests, self.words = tests, span_hashes(data, starts, ends)
+        self.left = np.repeat(self.firsts[1:], np.diff(self.firsts)) - np.arange(len(self.words))  # words to the end of the row
+        self.padded = np.r_[self.words, np.zeros(tests.window + 1, np.uint64)]
+        keep = np.zeros(len(self.words), bool)
+        if len(self.words):
+            keep = np.r_[_among(mix(self.words[:-1]) + self.words[1:], tests.pairs), False] & (self.left >= 2)
+            if len(tests.single):
+                keep |= _among(self.words, tests.single)
+        at = np.flatnonzero(keep)
+        self.suffix = at[np.lexsort([self.word(at, d) for d in range(tests.window - 1, -1, -1)])]
+
+    def word(self, at: np.ndarray, depth: int) -> np.ndarray:
         """The depth-th word of suffixes; 0 past the end of the row, below every word."""
-        out = padded[at + depth]
-        out[left[at] <= depth] = 0
+        out = self.padded[at + depth]
+        out[self.left[at] <= depth] = 0
         return out
 
-    suffix = suffix[np.lexsort([word(suffix, d) for d in range(tests.window - 1, -1, -1)])]
-    low, high = np.zeros(len(tests.start), np.int64), np.full(len(tests.start), len(suffix))
-    live = np.arange(len(tests.start))
-    for depth in range(tests.window):
-        live = live[(tests.need[live] > depth) & (high[live] > low[live])]
-        if not len(live):
-            break
-        goal = tests.words[tests.start[live] + depth]
-        column = word(suffix, depth)
-        a = _bisect(column, goal, low[live], high[live], False)
-        b = _bisect(column, goal, a, high[live], True)
-        low[live], high[live] = a, b
-    found = np.flatnonzero(high > low)
-    count = high[found] - low[found]
-    which = np.repeat(found, count)
-    place = suffix[np.repeat(low[found] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-    return firsts, which, place
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per test suffix found: its number and the range of the suffix array that shares the words it needs."""
+        tests = self.tests
+        low, high = np.zeros(len(tests.start), np.int64), np.full(len(tests.start), len(self.suffix))
+        live = np.arange(len(tests.start)) if len(self.suffix) else np.zeros(0, np.int64)
+        for depth in range(tests.window):
+            live = live[(tests.need[live] > depth) & (high[live] > low[live])]
+            if not len(live):
+                break
+            goal, column = tests.words[tests.start[live] + depth], self.word(self.suffix, depth)
+            low[live] = _bisect(column, goal, low[live], high[live], False)
+            high[live] = _bisect(column, goal, low[live], high[live], True)
+        found = np.flatnonzero(high > low) if len(self.suffix) else live
+        return found, low[found], high[found]
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The longest matches: (test suffix, place, words), none of which can be extended at either end."""
+        tests = self.tests
+        found, low, high = self.search()
+        out = [(np.zeros(0, np.int64),) * 3]
+        while len(found):
+            take = max(1, int(np.searchsorted(np.cumsum(high - low), PAIRS, "right")))
+            size = np.minimum(high[:take] - low[:take], PAIRS)  # a longer range is taken in several turns
+            test = np.repeat(found[:take], size)
+            place = self.suffix[np.repeat(low[:take] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            at = tests.start[test]
+            # a match that also holds the words before is found from there
+            begins = (at == tests.first[test]) | np.r_[True, self.left[:-1] == 1][place] | (tests.words[at - 1] != self.padded[place - 1])
+            test, place = test[begins], place[begins]
+            out.append((test, place, self._follow(test, place)))
+            low = low.copy()
+            low[:take] += size
+            left = high > low
+            found, low, high = found[left], low[left], high[left]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _follow(self, test: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How many words the texts share from there on."""
+        tests = self.tests
+        length = tests.need[test].copy()
+        most = np.minimum(self.left[place], tests.left[tests.start[test]])
+        live = np.flatnonzero(most > length)
+        while len(live):
+            live = live[tests.words[tests.start[test[live]] + length[live]] == self.words[place[live] + length[live]]]
+            length[live] += 1
+            live = live[most[live] > length[live]]
+        return length
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -145,7 +161,7 @@ def _bisect(column: np.ndarray, goal: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 def _benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in blocks of bounded text, each held by the driver alone; longer items are a block."""
+    """The items in blocks of bounded text, each held by the driver alone; longer items are a block.  At least one."""
     rows, size = [], 0
     for row in benchmark.select(F.col(item_column).cast("string").alias("i"), F.col(text_column).alias("t")).toLocalIterator():
         text = row["t"] or ""
@@ -154,93 +170,113 @@ def _benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str,
             rows, size = [], 0
         rows.append((row["i"], text))
         size += len(text)
-    if rows:
-        yield rows
+    yield rows
+
+
+def _block_by_block(docs: DataFrame, benchmark: DataFrame, window: int, item_column: str, item_text_column: str, block_chars: int, search: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """search() of one block after the other, its rows written in between, so that a worker holds one block at a time."""
+    scratch = found = None
+    for items in _benchmark_blocks(benchmark, item_column, item_text_column, block_chars):
+        if found is not None:
+            docs = written(found, "decontam-rows")
+            if scratch is not None:
+                discard(scratch)
+            scratch = docs
+        found = search(docs, docs.sparkSession.sparkContext.broadcast(TestSuffixes(items, window)))
+    return found
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document row: id, n_words, hit intervals (from, to in words, half open, merged) and items found."""
+    """One row per document row: id, n_words and the longest matches (at, length, item, item_at; all in words)."""
     kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, n_words long, hits array<struct<a:long,b:long>>, items array<string>"
-    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    names = ["id", "text", "n_words", "matches"]
+    start = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCHES).alias("matches"))
 
-    def searched(items: list[tuple[str | None, str]]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def search(rows: DataFrame, held: Broadcast) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             tests = held.value
-            counts, hit_counts, froms, tos, item_counts, names = [], [], [], [], [], []
-            for _, _, data, offsets in blocks(batch.column(1)):
-                firsts, which, place = _shard(tests, data, offsets)
-                rows = row_of(firsts)
-                n = len(offsets) - 1
-                counts.append(np.diff(firsts))
-                edge = np.zeros(len(rows) + 1, np.int64)
-                if len(which):
-                    np.add.at(edge, place, 1)
-                    np.add.at(edge, place + tests.need[which], -1)
-                covered = np.cumsum(edge[:-1]) > 0
-                new_row = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-                begins = np.flatnonzero(covered & (np.r_[True, ~covered[:-1]][: len(covered)] | new_row))
-                ends = np.flatnonzero(covered & (np.r_[~covered[1:], True][: len(covered)] | np.r_[new_row[1:], True][: len(covered)])) + 1
-                row = rows[begins] if len(begins) else np.zeros(0, np.int64)
-                hit_counts.append(np.bincount(row, minlength=n))
-                froms.append(begins - firsts[row])
-                tos.append(ends - firsts[row])
-                per = np.zeros(n, np.int64)
-                if len(which):
-                    both = np.unique(np.stack([rows[place], which]), axis=1)
-                    size = tests.owner_at[both[1] + 1] - tests.owner_at[both[1]]
-                    spot = np.repeat(tests.owner_at[both[1]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    owned = np.unique(np.stack([np.repeat(both[0], size), tests.owner_item[spot]]), axis=1)
-                    per = np.bincount(owned[0], minlength=n)
-                    names += [tests.names[i] for i in owned[1].tolist()]
-                item_counts.append(per)
-            flat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-            hits = pa.StructArray.from_arrays([pa.array(flat(froms)), pa.array(flat(tos))], fields=list(pair))
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(flat(counts)),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(flat(hit_counts))].astype(np.int32)), hits),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(flat(item_counts))].astype(np.int32)), pa.array(names, pa.string())),
-                ],
-                [id_column, "n_words", "hits", "items"],
-            )
-
-        return map_batches(docs, [id_column, text_column], schema, run)
-
-    return _over_blocks(docs, benchmark, searched, id_column, text_column, item_column, item_text_column, block_chars)
-
-
-def _over_blocks(docs, benchmark, searched, id_column, text_column, item_column, item_text_column, block_chars) -> DataFrame:
-    found = [searched(items) for items in _benchmark_blocks(benchmark, item_column, item_text_column, block_chars)] or [searched([])]
-    items = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull())))
-    if len(found) == 1:
-        return found[0].withColumn("items", items("items"))
-    every = found[0].withColumn("block", F.lit(0))
-    for k, df in enumerate(found[1:], 1):
-        every = every.unionByName(df.withColumn("block", F.lit(k)))
-    # equal rows of a repeated id are numbered, so that each is rejoined with its own blocks
-    nth = F.row_number().over(Window.partitionBy("block", id_column).orderBy("n_words", F.xxhash64("hits", "items")))
-    merged = every.withColumn("nth", nth).groupBy(id_column, "nth", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    closed = F.aggregate(
-        F.array_sort("hits"),
-        F.array().cast("array<struct<a:bigint,b:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return merged.select(id_column, "n_words", closed.alias("hits"), items("items").alias("items"))
+            item_names = pa.array(tests.names, pa.string())
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                shard = Shard(tests, data, offsets)
+                test, place, length = shard.matches()
+                row = row_of(shard.firsts)[place] if len(place) else place
+                order = np.lexsort((tests.start[test], place))
+                test, place, length, row = test[order], place[order], length[order], row[order]
+                found = pa.StructArray.from_arrays(
+                    [pa.array(place - shard.firsts[row]), pa.array(length), item_names.take(pa.array(tests.item[test])), pa.array(tests.start[test] - tests.first[test])],
+                    fields=list(part.schema.field("matches").type.value_type),
+                )
+                fresh = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)), found, type=part.schema.field("matches").type)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(shard.firsts)), _joined(part.column(3), fresh)], names)
+
+        return map_batches(rows, names, f"id {kind}, text string, n_words long, matches {MATCHES}", run)
+
+    every = _block_by_block(start, benchmark, window, item_column, item_text_column, block_chars, search)
+    return every.select(F.col("id").alias(id_column), "n_words", "matches")
+
+
+def _joined(old: pa.ListArray, fresh: pa.ListArray) -> pa.ListArray:
+    """Row by row the elements of both lists."""
+    if not len(old.values):
+        return fresh
+    counts = [np.diff(x.offsets.to_numpy()) for x in (old, fresh)]
+    row = np.concatenate([np.repeat(np.arange(len(old)), c) for c in counts])
+    values = pa.concat_arrays([x.values.slice(x.offsets[0].as_py(), x.offsets[-1].as_py() - x.offsets[0].as_py()) for x in (old, fresh)])
+    cuts = np.r_[0, np.cumsum(counts[0] + counts[1])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), values.take(pa.array(np.argsort(row, kind="stable"))), type=fresh.type)
 
 
 def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The contract's columns of find_matches()."""
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
+    """The contract's columns of find_matches(): document words inside matches, and the items matched."""
+    ends = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    covered = F.aggregate(
+        F.array_sort(F.transform("matches", lambda m: F.struct(m["at"].alias("at"), (m["at"] + m["length"]).alias("to")))),
+        ends,
+        lambda acc, x: F.struct((acc["n"] + F.greatest(x["to"] - F.greatest(x["at"], acc["to"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["to"], x["to"]).alias("to")),
+        lambda acc: acc["n"],
+    )
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item"]), lambda x: x.isNotNull())))
     return found.select(
-        id_column, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        id_column, "n_words", covered.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated")
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id") -> DataFrame:
-    """The documents in which no benchmark window occurs; a repeated id goes if any of its rows is affected."""
-    bad = digest(find_matches(docs, benchmark, window, id_column), id_column).where("contaminated").select(id_column).distinct()
-    return docs.join(bad, id_column, "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows in which no benchmark window occurs, with all their columns."""
+
+    def search(rows: DataFrame, held: Broadcast) -> DataFrame:
+        place = rows.columns.index(text_column)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for lo, _, data, offsets in blocks(batch.column(place)):
+                    shard = Shard(held.value, data, offsets)
+                    _, at, _ = shard.matches()
+                    if len(at):
+                        clean[lo + np.unique(row_of(shard.firsts)[at])] = False
+                yield batch.filter(pa.array(clean))
+                trim()
+
+        ship(rows.sparkSession)
+        return rows.mapInArrow(run, rows.schema)
+
+    return _block_by_block(docs, benchmark, window, item_column, item_text_column, block_chars, search)
+
+
+#: Occurrences of windows by hashes of ten (or fewer) joined words; bytes from 0x80 on belong to words.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS words
+      FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0)),
+p AS (SELECT r, w, unnest(generate_series(1, len(w))) AS s FROM d WHERE len(w) > 0),
+m AS (SELECT p.r, p.s, g.n, g.item_id
+      FROM (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS words FROM p, (SELECT DISTINCT n FROM g) WHERE s + n - 1 <= len(w)) p JOIN g ON g.n = p.n AND g.words = p.words),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS q FROM m) GROUP BY r),
+i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.items, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""

@@ -383,17 +383,65 @@ def brute_hits(items, text, window=10):
     return len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
 
 
-@pytest.mark.parametrize("block_chars", [1 << 23, 40])
-def test_decontamination_equals_search(spark, block_chars):
+def brute_matches(items, text, window=10):
+    """All pairs of places whose words agree, cannot be extended, and are a window long."""
+    w, out = WORD.findall((text or "").translate(LOW)), []
+    for name, t in items:
+        g = WORD.findall((t or "").translate(LOW))
+        for s in range(len(g)):
+            for p in range(len(w)):
+                n = 0
+                while s + n < len(g) and p + n < len(w) and g[s + n] == w[p + n]:
+                    n += 1
+                if n and n >= min(window, len(g)) and not (s and p and g[s - 1] == w[p - 1]):
+                    out.append((p, n, None if name is None else str(name), s))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture(scope="module")
+def tests_and_texts(spark):
     rng = random.Random(2)
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
-    items = [(1, text(14)), (2, "A, B! c"), (3, None), (4, ""), (5, "zz"), (5, text(11)), (None, "d d d d"), (6, "a b c"), (7, "É é x")]
-    rows = [(i, text(rng.randint(0, 60))) for i in range(150)] + [(200, None), (201, ""), (202, "zz"), (203, " ".join(["q", items[0][1], "q"])), (204, "é é X")]
-    docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, hits int, items string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_decontam.digest(suffix_decontam.find_matches(docs, bench, block_chars=block_chars)).collect()}
-    for d, t in rows:
-        assert got[d] == brute_hits(items, t), t
+    items = [(1, text(14)), (2, "A, B! c"), (3, None), (4, ""), (5, "zz"), (5, text(11)), (None, "d d d d"), (6, "a b c"), (7, "É é x"), (8, "x " * 12), (9, " ".join(f"u{k}" for k in range(40))), (10, " ".join(f"u{k}" for k in range(5, 30)))]
+    rows = [(i % 120, text(rng.randint(0, 60))) for i in range(150)] + [(200, None), (201, ""), (202, "zz"), (203, " ".join(["q", items[0][1], "q"])), (204, "é é X"), (205, "x " * 30), (206, " ".join(f"u{k}" for k in range(3, 25)))]
+    rows += [(k, t) for k in (300, None) for t in (items[0][1], "clean words here and there only words", " ".join(f"u{k}" for k in range(24)))]
+    docs = spark.createDataFrame([(*r, 1, "c", "d", "e") for r in rows], "doc_id long, text string, hits int, items string, matches string, n_words string")
+    return items, rows, docs, spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("block_chars", [1 << 23, 40])
+def test_decontamination_equals_search(tests_and_texts, block_chars):
+    items, rows, docs, bench = tests_and_texts
+    found = suffix_decontam.find_matches(docs, bench, block_chars=block_chars)
+    assert sorted((tuple(r) for r in suffix_decontam.digest(found).collect()), key=repr) == sorted(((d, *brute_hits(items, t)) for d, t in rows), key=repr)
+
+
+@pytest.mark.parametrize("block_chars", [1 << 23, 40])
+def test_longest_matches_and_their_places(tests_and_texts, block_chars, monkeypatch):
+    monkeypatch.setattr(suffix_decontam, "PAIRS", 7)
+    items, rows, docs, bench = tests_and_texts
+    got = [(r["doc_id"], r["n_words"], sorted(((m["at"], m["length"], m["item"], m["item_at"]) for m in r["matches"]), key=repr)) for r in suffix_decontam.find_matches(docs, bench, block_chars=block_chars).collect()]
+    want = [(d, len(WORD.findall((t or "").translate(LOW))), brute_matches(items, t)) for d, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert (0, 22, "9", 3) in next(m for d, _, m in got if d == 206)
+
+
+def test_longest_matches_in_several_turns():
+    tests = suffix_decontam.TestSuffixes([("a", "x " * 12), ("b", "y z")], 10)
+    for pairs_at_once in (1, 5, 1 << 20):
+        suffix_decontam.PAIRS, before = pairs_at_once, suffix_decontam.PAIRS
+        shard = suffix_decontam.Shard(tests, *textkit.arrow_bytes(pa.array(["x " * 20, "y z y z", "x x"])))
+        found = sorted(zip(*(x.tolist() for x in shard.matches()), strict=True))
+        suffix_decontam.PAIRS = before
+        assert found == sorted([*((0, p, min(12, 20 - p)) for p in range(11)), *((s, 0, 12 - s) for s in (1, 2)), (3, 20, 2), (3, 22, 2)])
+
+
+@pytest.mark.parametrize("block_chars", [1 << 23, 40])
+def test_contaminated_rows_go_whatever_their_id(tests_and_texts, block_chars):
+    items, rows, docs, bench = tests_and_texts
+    left = suffix_decontam.remove_contaminated(docs, bench, block_chars=block_chars)
+    assert left.columns == docs.columns
+    assert sorted(pairs(left), key=repr) == sorted((r for r in rows if not brute_hits(items, r[1])[-1]), key=repr)
 
 
 def test_decontamination_of_nothing(docs, empty, spark):
@@ -402,6 +450,14 @@ def test_decontamination_of_nothing(docs, empty, spark):
     assert suffix_decontam.remove_contaminated(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_equals_sql(spark, data):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    want = con.sql("SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM (" + suffix_decontam.ORACLE_SQL + ")").fetchall()
+    assert sorted(tuple(r) for r in registry.op6_decontamination(spark, data).collect()) == sorted(want)
+
+
 # --- 7 html --------------------------------------------------------------------------------------------
 
 
