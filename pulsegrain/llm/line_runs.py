@@ -1,14 +1,19 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Each batch of documents becomes one run: its distinct long-line keys (two 64-bit hashes) in sorted
-order, with the number of documents that hold the key and the largest doc_id among them.  Runs of one
-level are compacted into one run of the next level when there are `fanout` of them.  A new batch is
-merge-anti-joined against the runs (`fresh`) and adds its own; the runs together say how often a key
-occurs and where it stays.
+Documents enter in batches, those with the largest doc_ids first.  A batch's long-line keys (two 64-bit
+hashes) are sorted and merge-anti-joined against the runs: what no run holds yet is a new run of level
+0, each key once with the largest doc_id that holds it.  That document keeps its lines; every later
+place of the key, in the same or a later batch, is a repeat, and counts of repeats are tallied beside
+the runs.  Runs of one level are compacted into one sorted run of the next level when there are
+`fanout` of them; as no key is in two runs, that is a merge without any summing.
+
+A key that runs and tallies find in at least `min_docs` documents loses its lines everywhere but in the
+document that its run names.
 
 Defined results: a null or empty text is one empty line; a null doc_id takes no part: such rows keep
 all their lines and are not counted; rows that repeat a doc_id are one document for the count, and a
-key loses its lines in each of them unless that doc_id is the largest; shorter keys always stay.
+key loses its lines in each of them unless that doc_id is the largest; shorter keys always stay.  Other
+columns stay as they are, but for columns named _n_lines and _n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_folder, shared_folder, written
+from .common import delete_folder, discard, shared_folder, unused, written
 
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,74 +49,110 @@ def line_keys(docs: DataFrame, min_chars: int, id_column: str = "doc_id", text_c
 
 
 class LineRuns:
-    """Levelled sorted runs in a folder that all executors share."""
+    """Levelled sorted runs in a folder that all executors share; the runs hold a key once."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or f"{shared_folder(spark)}/line-runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
+        self.tallies: list[str] = []
         self.schema = None
 
-    def _write(self, keys: DataFrame, level: int) -> None:
-        path = f"{self.folder}/level{level}-{uuid.uuid4().hex}"
-        keys.sortWithinPartitions(*KEY).write.parquet(path)
-        self.schema = keys.schema
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _write(self, keys: DataFrame, name: str) -> str:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        keys.write.parquet(path)
+        return path
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def runs(self) -> DataFrame:
+        """(h1, h2, docs, last): every key with the documents of the batch that brought it and the largest of them."""
+        return self._read([p for level in self.levels for p in level])
 
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch of line_keys(); a document must not be split between batches."""
-        self._write(lines.select(*KEY, "doc").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last")), 0)
+        """Enters a batch of line_keys(); no later batch has a larger doc_id, and no document is in two batches."""
+        keys = lines.select(*KEY, "doc").distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last"))
+        self.schema = self.schema or keys.schema
+        held = any(self.levels)
+        if held:
+            batch = written(keys, "line-batch")
+            self.tallies.append(self._write(batch.join(self.runs().select(*KEY).hint("merge"), KEY, "left_semi").select(*KEY, "docs"), "tally"))
+            fresh = self.fresh(batch)
+        else:
+            fresh = keys
+        self._level(fresh, 0)
+        if held:
+            discard(batch)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
+            merged = self._read(full)
+            self._level(merged.repartition(*KEY), level + 1)
+            for path in full:
+                delete_folder(self.spark, path)
             level += 1
 
-    def merged(self) -> DataFrame:
-        """Per key: documents that hold it and the largest doc_id."""
-        return self._merged([p for level in self.levels for p in level])
+    def _level(self, keys: DataFrame, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(self._write(keys.sortWithinPartitions(*KEY), f"level{level}"))
+
+    def fresh(self, keys: DataFrame) -> DataFrame:
+        """The rows whose keys no run holds yet."""
+        return keys.join(self.runs().select(*KEY).hint("merge"), KEY, "left_anti") if any(self.levels) else keys
+
+    def repeated(self, min_docs: int) -> DataFrame:
+        """(h1, h2, last): the keys of at least so many documents, and the largest doc_id that holds them."""
+        first = self.runs().select(*KEY, "docs", "last")
+        if not self.tallies:
+            return first.where(F.col("docs") >= min_docs).select(*KEY, "last")
+        more = self.spark.read.schema(self.schema[:3]).parquet(*self.tallies).groupBy(*KEY).agg(F.sum("docs").alias("more"))
+        return first.join(more, KEY, "left").where(F.col("docs") + F.coalesce("more", F.lit(0)) >= min_docs).select(*KEY, "last")
+
 
-    def fresh(self, lines: DataFrame) -> DataFrame:
-        """The lines of a batch whose keys no run holds yet."""
-        paths = [p for level in self.levels for p in level]
-        return lines if not paths else lines.join(self.spark.read.schema(self.schema).parquet(*paths).select(*KEY), KEY, "left_anti")
+def batch_bounds(docs: DataFrame, batches: int, id_column: str, sample: int = 4096) -> list:
+    """Ascending doc_ids that part the rows into about equal batches, from a bounded sample of ids by their hash."""
+    ids = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"))
+    taken = ids.select("doc", F.xxhash64("doc").alias("h")).orderBy("h").limit(sample).select("doc")
+    ordered = [r[0] for r in taken.orderBy("doc").collect()]
+    return sorted({ordered[len(ordered) * k // batches] for k in range(1, batches)}) if ordered else []
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents with repeated long lines left in the largest doc_id only; adds _n_lines and _n_dropped.
 
-    The keys are written once, split into batches by a hash of doc_id, and each batch enters the runs.
+    The keys are written once, in batches by ranges of doc_id; the batches enter the runs from the largest down.
     """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/line-keys-{uuid.uuid4().hex}"
-    keys = line_keys(docs, min_chars, id_column, text_column).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int"))
+    bounds = batch_bounds(docs, batches, id_column)
+    number = F.lit(0)
+    for bound in bounds:
+        number = number + (F.col("doc") >= F.lit(bound)).cast("int")
+    keys = line_keys(docs, min_chars, id_column, text_column).withColumn("batch", number)
     keys.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(keys.schema).parquet(path)
     runs = LineRuns(spark, fanout=fanout)
-    for k in range(batches):
+    for k in range(len(bounds), -1, -1):
         runs.add(lines.where(F.col("batch") == k).drop("batch"))
     # written, so that the join's sides are plain and a line that a third of all rows hold can be split
-    repeated = written(runs.merged().where(F.col("docs") >= min_docs).select(*KEY, "last"), "line-repeated")
+    repeated = written(runs.repeated(min_docs), "line-repeated")
     gone = written(
-        lines.join(repeated, KEY)
-        .where(F.col("doc") < F.col("last"))
-        .groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version"))
-        .agg(F.collect_set("pos").alias("_gone")),
+        lines.join(repeated, KEY).where(F.col("doc") < F.col("last")).groupBy("doc", "version").agg(F.collect_set("pos").alias("gone")),
         "line-gone",
     )
+    discard(repeated)
     for folder in (path, runs.folder):
         delete_folder(spark, folder)
-    split = _lines(F.col(text_column))
-    same = (F.col(id_column) == F.col("_doc")) & (F.xxhash64(F.col(text_column)) == F.col("_version"))
-    joined = docs.join(gone, same, "left").withColumn("_lines", split)
-    kept = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    docs = docs.drop("_n_lines", "_n_dropped")
+    doc, version, dropped, cut = (unused(docs, c) for c in ("_doc", "_version", "_gone", "_lines"))
+    same = (F.col(id_column) == F.col(doc)) & (F.xxhash64(F.col(text_column)) == F.col(version))
+    joined = docs.join(gone.toDF(doc, version, dropped), same, "left").withColumn(cut, _lines(F.col(text_column)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(dropped))  # by hash: linear in the lines
+    kept = F.when(F.col(dropped).isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(cut), i)), "\n"))
     columns = [F.coalesce(kept, F.lit("")).alias(c) if c == text_column else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.size("_lines").cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"))
+    return joined.select(*columns, F.size(cut).cast("long").alias("_n_lines"), F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("_n_dropped"))
 
 
 def digest(deduped: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

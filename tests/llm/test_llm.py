@@ -703,8 +703,10 @@ def brute_lines(rows):
 
 
 def test_line_dedup_equals_counting(docs):
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_runs.digest(line_runs.dedup_lines(docs)).collect())
+    done = line_runs.dedup_lines(docs)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_runs.digest(done).collect())
     assert got == brute_lines(pairs(docs)) and sum(r[2] for r in got) > 0
+    assert done.columns == [*(c for c in docs.columns if c != "_n_lines"), "_n_lines", "_n_dropped"] and done.select("_doc", "_gone").distinct().count() == 1
 
 
 def test_line_dedup_equals_sql(spark, data):
@@ -716,13 +718,35 @@ def test_line_dedup_equals_sql(spark, data):
 
 def test_runs_compact_and_join(spark):
     runs = line_runs.LineRuns(spark, fanout=2)
-    batch = lambda lo: line_runs.line_keys(spark.createDataFrame([(lo + i, LONG + str(i % 2)) for i in range(4)], "doc_id long, text string"), 40)
-    assert runs.fresh(batch(0)).count() == 4
-    for k in range(5):
+    batch = lambda lo: line_runs.line_keys(spark.createDataFrame([(lo + i, LONG + str(i % 2)) for i in range(4)] + [(lo, LONG + str(lo))], "doc_id long, text string"), 40)
+    assert runs.fresh(batch(0)).count() == 5
+    for k in range(5, 0, -1):
         runs.add(batch(10 * k))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert sorted((r["docs"], r["last"]) for r in runs.merged().collect()) == [(10, 42), (10, 43)]
-    assert runs.fresh(batch(99)).count() == 0
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and len(runs.tallies) == 4
+    assert sorted((r["docs"], r["last"]) for r in runs.runs().collect()) == [*((1, 10 * k) for k in range(1, 6)), (2, 52), (2, 53)]  # each key once
+    assert sorted(r["last"] for r in runs.repeated(10).collect()) == [52, 53]
+    assert runs.fresh(batch(99)).count() == 1
+
+
+def test_line_dedup_rests_on_the_anti_join(spark, monkeypatch):
+    """Without it a key of four documents would be in two runs, and its repeats be counted twice."""
+    docs = spark.createDataFrame([(k, LONG if k in (10, 11, 12, 90) else f"text {k}") for k in range(100)], "doc_id long, text string")
+    assert line_runs.dedup_lines(docs).where("_n_dropped > 0").count() == 0
+    assert line_runs.dedup_lines(docs, min_docs=4).where("_n_dropped > 0").count() == 3
+    monkeypatch.setattr(line_runs.LineRuns, "fresh", lambda self, keys: keys)
+    assert line_runs.dedup_lines(docs).where("_n_dropped > 0").count() > 0
+
+
+@pytest.mark.parametrize("options", [{"batches": 1}, {"batches": 9, "fanout": 2}])
+def test_line_dedup_is_the_same_in_any_batches(docs, options):
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_runs.digest(line_runs.dedup_lines(docs, **options)).collect())
+    assert got == brute_lines(pairs(docs))
+
+
+def test_line_dedup_of_ids_that_are_words(spark):
+    rows = [(f"id{k:02d}", LONG) for k in range(12)] + [("id11", f"{LONG}\n{LONG}x")]
+    got = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).where("_n_dropped = 0").collect()
+    assert {r["doc_id"] for r in got} == {"id11"} and len(got) == 2
 
 
 def test_line_dedup_of_nothing(empty):
