@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, unused, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 
@@ -46,18 +46,46 @@ TERM = r"\p{L}{3,}+"
 PIECE = "array<struct<pos:int,piece:string>>"
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """The text cut at the matches, each piece with its position; every second piece is a match."""
-    cut = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
-    start = F.struct(F.array().cast(PIECE).alias("done"), F.lit(0).alias("at"))
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _placed(pieces: Column, at: Column) -> Column:
+    """Each piece with its position, the first one at `at`."""
     return F.aggregate(
-        cut,
-        start,
+        pieces,
+        F.struct(F.array().cast(PIECE).alias("done"), at.alias("at")),
         lambda acc, x: F.struct(F.concat(acc["done"], F.array(F.struct(acc["at"].alias("pos"), x.alias("piece")))).alias("done"), (acc["at"] + F.char_length(x)).alias("at")),
         lambda acc: acc["done"],
     )
 
 
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text cut at the matches, each piece with its position; every second piece is a match.
+
+    Positions are summed within runs of about the square root of all pieces, and over the runs, so that
+    no long array is copied for each piece.
+    """
+    cut = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    length = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + F.char_length(x))
+    begins = lambda runs: F.aggregate(
+        runs,
+        F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("at")),
+        lambda acc, run: F.struct(F.concat(acc["done"], F.array(acc["at"])).alias("done"), (acc["at"] + length(run)).alias("at")),
+        lambda acc: acc["done"],
+    )
+
+    def runs(pieces: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        return _bound(size, lambda n: F.transform(F.sequence(F.lit(1), F.size(pieces), n), lambda at: F.slice(pieces, at, n)))
+
+    return _bound(
+        _bound(cut, runs),
+        lambda part: _bound(begins(part), lambda starts: F.flatten(F.transform(part, lambda run, i: _placed(run, F.get(starts, i))))),
+    )
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -109,15 +137,14 @@ def _matches(text: Column, kind: str) -> Column:
         return F.filter(found, lambda x: x.isNotNull())
 
     marked = F.translate(text, OPEN + CLOSE, OTHER * 2)
-    bound = F.transform(F.array(_pieces(marked, PATTERNS[kind])), spans)  # names the pieces once
-    return F.when(HINTS[kind](text), bound[0].cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(HINTS[kind](text), _bound(_pieces(marked, PATTERNS[kind]), spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, version of the text, base spans sorted by start and kind, the text if there are any) of every row, written once."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     every = F.array_sort(F.concat(*(_matches(text, kind) for kind in KINDS[:4])))
-    found = F.transform(F.array(every), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, text).alias("text")))[0]  # names the spans once
+    found = _bound(every, lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, text).alias("text")))
     kept = written(docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_version"), found.alias("_found")), "pii-spans")
     return kept.select("_id", "_version", F.col("_found.base").alias("_base"), F.col("_found.text").alias("_text"))
 
@@ -155,10 +182,17 @@ def term_spans(docs: DataFrame, base: DataFrame, disclosure: float = 0.8, text_c
     telling = scored.where(pmi >= disclosure * F.log2(n_all / F.col("n_e"))).select("entity", "term")
     told = written(pair.join(telling, ["entity", "term"]).select("_doc", "term").distinct(), "pii-told")
     discard(pair, entity)
-    places = _places(met.join(told.select("_doc").distinct(), "_doc", "left_semi")).join(told, ["_doc", "term"])
-    spans = places.groupBy("_doc").agg(F.collect_set(F.struct("start", F.lit(4).alias("ord"), "end")).alias("_spans"))
-    apart = F.filter("_spans", lambda t: ~F.exists("_bare", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
-    return spans.join(met.select("_doc", "_id", "_version", "_bare"), "_doc").select("_id", "_version", apart.alias("_terms"))
+    inner = met.join(told.select("_doc").distinct(), "_doc", "left_semi")
+    places = _places(inner).join(told, ["_doc", "term"]).select("_doc", "start", "end", F.lit(True).alias("own"))
+    bases = inner.select("_doc", F.explode("_bare").alias("s")).select("_doc", "s.start", "s.end", F.lit(False).alias("own"))
+    # in the order of their starts, a term overlaps a base span if one before ends after its start or one after starts before its end
+    ahead = Window.partitionBy("_doc").orderBy("start")
+    reach = F.max(F.when(~F.col("own"), F.col("end"))).over(ahead.rangeBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(~F.col("own"), F.col("start"))).over(ahead.rangeBetween(0, Window.unboundedFollowing))
+    apart = (F.coalesce("reach", F.col("start")) <= F.col("start")) & (F.coalesce("following", F.col("end")) >= F.col("end"))
+    free = places.unionByName(bases).withColumns({"reach": reach, "following": following}).where(F.col("own") & apart)
+    spans = free.groupBy("_doc").agg(F.collect_set(F.struct("start", F.lit(4).alias("ord"), "end")).alias("_terms"))
+    return spans.join(met.select("_doc", "_id", "_version"), "_doc").select("_id", "_version", "_terms")
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **limits: float) -> DataFrame:
@@ -184,16 +218,19 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **limits: float) -> DataFrame:
     """The documents with entities generalised to their kind in brackets and telling terms removed."""
-    spans = find(docs, id_column, text_column, **limits).select(F.col(id_column).alias("_id"), "_version", "spans").where(F.size("spans") > 0).dropDuplicates(["_id", "_version"])
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    found = find(docs, id_column, text_column, **limits).where(F.size("spans") > 0).dropDuplicates([id_column, "_version"])
     names = F.array(*(F.lit(f"[{k}]" if k != "term" else "") for k in KINDS))
-    rebuilt = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["ord"])).alias("out"), s["end"].alias("at"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))),
+    # what stands before each span that begins beyond all spans before it, and the span's name
+    ahead = Window.partitionBy(id_column, "_version").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.select(id_column, "_version", F.explode("spans").alias("s")).withColumn("at", F.coalesce(F.max("s.end").over(ahead), F.lit(0)))
+    part = F.struct("s", "at", F.when(F.col("s.start") >= F.col("at"), F.get(names, F.col("s.ord"))).otherwise(F.lit("")).alias("name"))
+    cuts = parts.groupBy(id_column, "_version").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("s.end").alias("end"))
+    own, version, pieces, end = (unused(docs, c) for c in ("_id", "_version", "_parts", "_end"))
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    joined = docs.join(cuts.toDF(own, version, pieces, end), F.col(id_column).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(version)), "left")
+    between = lambda points, a, b: F.array_join(F.slice(points, a + 1, F.greatest(b - a, F.lit(0))), "")
+    rebuilt = _bound(  # over the code points, so that no position is counted from the start again
+        F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+        lambda points: F.concat(F.array_join(F.transform(pieces, lambda p: F.concat(between(points, p["at"], p["s"]["start"]), p["name"])), ""), between(points, F.col(end), F.size(points))),
     )
-    joined = docs.join(spans, F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_version")), "left")
-    return joined.select(*(F.when(F.col("spans").isNull(), F.col(c)).otherwise(rebuilt).alias(c) if c == text_column else F.col(c) for c in docs.columns))
+    return joined.select(*(F.when(F.col(pieces).isNull(), F.col(c)).otherwise(rebuilt).alias(c) if c == text_column else F.col(c) for c in docs.columns))

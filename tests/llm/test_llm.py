@@ -331,6 +331,32 @@ def test_pii_terms_are_told_in_the_whole_text(spark):
     assert [got[k] for k in range(3)] == [" order 12 card [card] today", f"Dear ,{far} [email]", f"[email] [email]{far}  é Ω "]
 
 
+def test_pii_sanitises_what_overlaps_and_keeps_the_rest(spark, docs):
+    texts = ["🙂 a@b.co🙂 +1 10.0.0.1 22 é", "call +49 4539578763621486 now", "\n\n1.1.1.1", None, "", "nothing"]
+    frame = spark.createDataFrame([(k, t, "c", "d") for k, t in enumerate(texts)], "doc_id long, text string, _id string, _parts string")
+    got = disclosure_pii.sanitise(frame, disclosure=9.0)
+    assert got.columns == frame.columns
+    for r in got.collect():
+        out, at = "", 0
+        for start, kind, end in brute_pii(texts[r["doc_id"]] or ""):
+            if start >= at:
+                out += texts[r["doc_id"]][at:start] + f"[{KINDS[kind]}]"
+            at = max(at, end)
+        assert (r["text"] or "") == out + (texts[r["doc_id"]] or "")[at:]
+    assert disclosure_pii.sanitise(docs).count() == docs.count()
+
+
+def test_pii_of_many_spans_takes_time_nearly_in_proportion(spark):
+    def took(n: int) -> float:
+        docs = spark.createDataFrame([(1, "+1 555 010 9999, " * n), (2, "plain")], "doc_id long, text string")
+        began = time.perf_counter()
+        assert disclosure_pii.base_spans(docs).agg(F.sum(F.size("_base"))).first()[0] == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(64_000) < 8 * max(1.0, took(16_000))
+
+
 def test_pii_of_nothing(empty):
     assert disclosure_pii.find(empty).count() == 0 and disclosure_pii.sanitise(empty).columns == empty.columns
 
