@@ -14,17 +14,20 @@ Spread over a cluster without losing a pair:
 3. In trees with more than `STAR` nodes, a few rounds try one pivot on one node of every other
    component and contract the verified links, so that a group of copies costs a few pairs per node.
 4. What is still in different components meets in the trees.  A tree of more than `BLOCK` nodes is
-   dealt in blocks and joined block by block.
+   dealt by bands of size, as linked sets are of similar size, and a band of more than `BLOCK` nodes
+   in blocks that are joined block by block.
 5. Components are found by alternating large-star and small-star steps, each written out.
 
 Defined results: null and empty texts, and texts without words, have an empty set, no links and
 themselves as component; texts with fewer words than a shingle have one shingle; a null doc_id takes
 part in links but is never a component's id while another is known; repeated rows and repeated ids
-are linked as the texts they hold; other columns are not read.
+are linked as the texts they hold; other columns are not read.  keep_one() decides row by row: of
+each component one row stays, the one with the smallest id (a null id comes last).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, release, trim, written
+from .common import discard, map_batches, release, text_bytes, trim, unused, written
 from .textkit import LOWER, SPACE, blocks, gram_hashes, mix, span_hashes, spans
 
 GROUPS, FINEST = 64, 1024
-STAR, BLOCK, FANOUT, ROUNDS = 64, 4096, 8, 5
+STAR, BLOCK, FANOUT, ROUNDS = 16, 4096, 8, 5
 BITMAP = 1 << 23
+LISTED = 64  #: keys of large trees that a row carries, to tell a pair once
+PART_BYTES = 1 << 24  #: text whose shingles are counted together
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +102,6 @@ def most_common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """The leading 40 bits of sorted hashes: enough to tell the shingles of two sets apart, in five bytes each."""
-    top = grams >> np.uint64(24)
-    return (top >> np.uint64(8)).astype(np.uint32).tobytes() + top.astype(np.uint8).tobytes()
-
-
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    n = data.size // 5
-    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(data, np.uint8, n, 4 * n)
-
-
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
 
@@ -177,16 +171,21 @@ class Bitmap:
         return (self.flags[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _frequent(docs: DataFrame, words: int, sample_docs: int, most: int, id_column: str, text_column: str) -> np.ndarray:
+def _part_bits(size: int, least: int) -> int:
+    """Bits of the number of parts that so many bytes of text are counted in."""
+    return max(least, math.ceil(math.log2(max(1, size / PART_BYTES))))
+
+
+def _frequent(docs: DataFrame, words: int, sample_docs: int, most: int, total: int, size: int, id_column: str, text_column: str) -> np.ndarray:
     """Hashes of the shingles that are most frequent in the sample, rarest first."""
-    total = docs.count()
     share = max(1, -(-total // sample_docs))
+    bits = _part_bits(size // share, 6)
     sample = docs.where(F.pmod(F.xxhash64(id_column), F.lit(share)) == 0) if share > 1 else docs
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2500):
             sets = [shingle_sets(data, offsets, words)[0] for _, _, data, offsets in blocks(batch.column(0).slice(at, 2500))]
-            yield _dealt(np.concatenate(sets), 6)
+            yield _dealt(np.concatenate(sets), bits)
 
     found = map_batches(sample, [text_column], "part int, h binary, c binary", count).groupBy("part").applyInArrow(_counted(3), "h long, c long")
     top = found.orderBy(F.desc("c"), "h").limit(most).collect()
@@ -218,17 +217,19 @@ def _nodes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, id_c
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
+                    batch.column(2).slice(lo, hi - lo),
                     pa.array(size.astype(np.int64)),
                     pa.array(mix(node + size.astype(np.uint64)).view(np.int64)),
                     pa.array(fine, pa.binary()),
                     pa.array(fine_scale),
                     pa.array([keys[key_cuts[r] : key_cuts[r + 1]].tobytes() for r in range(len(size))], pa.binary()),
-                    pa.array([_packed(grams[cuts[r] : cuts[r + 1]]) for r in range(len(size))], pa.binary()),
+                    pa.array([grams[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(size))], pa.binary()),
                 ],
-                [id_column, "size", "node", "fine", "fine_scale", "keys", "grams"],
+                [id_column, "version", "size", "node", "fine", "fine_scale", "keys", "grams"],
             )
 
-    return map_batches(docs, [id_column, text_column], f"{id_column} {kind}, size long, node long, fine binary, fine_scale long, keys binary, grams binary", run)
+    rows = docs.select(id_column, text_column, F.xxhash64(text_column).alias("version"))
+    return map_batches(rows, [id_column, text_column, "version"], f"{id_column} {kind}, version long, size long, node long, fine binary, fine_scale long, keys binary, grams binary", run)
 
 
 def _column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
@@ -336,7 +337,11 @@ class Tree:
 
 
 def _least_common(large: pa.Array, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the pair's key is the least large-tree key that both rows have; pairs of small trees are always told."""
+    """Whether to tell the pair under its key: not where both rows list a smaller key of a large tree.
+
+    A row lists its LISTED smallest ones.  The least key that two lists share is the least that the rows
+    share; lists that share none say nothing, and the pair is told under each of its keys.
+    """
     out = np.ones(len(a), bool)
     held: dict[int, frozenset | None] = {}
 
@@ -349,7 +354,7 @@ def _least_common(large: pa.Array, key: np.ndarray, a: np.ndarray, b: np.ndarray
     for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         one, two = keys(x), keys(y)
         if one is not None and two is not None:
-            out[k] = min(one & two) == key[x]
+            out[k] = min(one & two, default=key[x]) == key[x]
     return out
 
 
@@ -380,7 +385,7 @@ def _tree_join(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
             batch = table.combine_chunks().to_batches(max_chunksize=1 << 30)[0]
-            key, i, j, block = (_column(batch, c) for c in ("key", "i", "j", "block"))
+            key, i, j, block, told_key, guest = (_column(batch, c) for c in ("key", "i", "j", "block", "tree", "guest"))
             node, size, comp, fine = _column(batch, "node"), _column(batch, "size"), _column(batch, "comp"), Points(batch)
             vec = fine.coarse
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
@@ -414,8 +419,9 @@ def _tree_join(percent: int):
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
                 fits = fine.allowed(a, b, _most_shared(size[a], size[b], percent))
+                fits &= ~(guest[a] & guest[b])
                 a, b = a[fits], b[fits]
-                told = _least_common(batch.column("large"), key, a, b)
+                told = _least_common(batch.column("large"), told_key, a, b)
                 a, b = node[a[told]], node[b[told]]
                 pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 trim()
@@ -443,7 +449,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int,
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-            x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             if len(x) > len(y):
                 x, y = y, x
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -470,7 +476,7 @@ def _with_doc(sets: DataFrame, id_column: str) -> DataFrame:
     return sets.where("size > 0").withColumn("doc", F.xxhash64(id_column))
 
 
-def _trees(sets: DataFrame, nodes: DataFrame, id_column: str) -> DataFrame:
+def _trees(sets: DataFrame, nodes: DataFrame, bits: int, id_column: str) -> DataFrame:
     """(key, node, n): the prefix shingles that several nodes share, and how many do.
 
     Bitmaps of fixed size stop the repeated texts and the shingles of one node before the shuffle; what
@@ -486,7 +492,7 @@ def _trees(sets: DataFrame, nodes: DataFrame, id_column: str) -> DataFrame:
         return np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.repeat(_column(batch, "node"), [len(k) for k in keys])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return _dealt(keys_of(batch)[0], 9)
+        return _dealt(keys_of(batch)[0], bits)
 
     counted = map_batches(rows, ["node", "doc", "keys"], "part int, h binary, c binary", count).groupBy("part").applyInArrow(_counted(2), "h long, c long")
     shared = written(counted.select(F.col("h").alias("key"), F.col("c").alias("n")), "rtree-keys")
@@ -553,27 +559,45 @@ def _stars(trees: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, id
     return links, tried, labels
 
 
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of trees that are too large for one task: by bands of size, and those in blocks.
+
+    Linked sets are in the same band or in neighbouring ones: each row is in its own band's group and
+    a guest in the next one's, where guests do not meet guests.
+    """
+    band = F.floor(F.log(F.col("size")) / (math.log(100 / percent) * (1 + 1e-6))) if percent < 100 else F.col("size")
+    dealt = rows.withColumn("band", band).withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("key", F.xxhash64("tree", F.col("band") + F.col("guest").cast("int")))
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("guest")).alias("own")).where("own > 0 AND n > 1")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    placed = dealt.join(sizes.select("key", parts.alias("parts")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "guest", *rows.columns)
+
+
 def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int = 20_000, frequent_shingles: int = 1 << 16, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links): members (id, size, node), classes (node, component_id), spanning links (a, b) between nodes."""
-    frequent = _frequent(docs, words, sample_docs, frequent_shingles, id_column, text_column)
+    """(members, classes, links): members (id, version of the text, size, node), classes (node, comp, component_id), spanning links (a, b) between nodes."""
+    total, size = text_bytes(docs, text_column)
+    frequent = _frequent(docs, words, sample_docs, frequent_shingles, total, size, id_column, text_column)
     sets = written(_nodes(docs, words, percent, frequent, id_column, text_column), "rtree-sets")
     nodes = written(sets.where("size > 0").groupBy("node").agg(F.min(id_column).alias("rep"), F.first("size").alias("size"), F.first("fine").alias("fine"), F.first("fine_scale").alias("fine_scale")), "rtree-nodes")
-    trees = _trees(sets, nodes, id_column)
+    trees = _trees(sets, nodes, _part_bits(size, 9), id_column)
     release(docs.sparkSession)
     star_links, tried, labels = _stars(trees.where(F.col("n") > STAR).select("key", "node"), nodes, sets, percent, id_column)
     known = written(nodes.select("node", "size", "fine", "fine_scale").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rtree-labelled")
     # a tree with one component, or of two nodes whose sizes are too far apart, needs no join; told by a small aggregate
     bounds = trees.join(known.select("node", "comp", "size"), "node").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most"), F.first("n").alias("n"))
     open_ = written(bounds.where((F.col("lo") != F.col("hi")) & ((F.col("n") > 2) | (F.col("least") * 100 >= F.col("most") * percent))).select("key"), "rtree-open")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = trees.join(open_, "key").join(known, "node").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = trees.join(open_, "key").join(known, "node").withColumnRenamed("key", "tree")
     # in a large tree a pair is told only under the least key of the large trees that both nodes are in
     # (a pair in different components finds all its common trees open; rows are dealt by node here already)
     many = F.col("n") > 2 * FANOUT
-    placed = placed.withColumn("large", F.when(many, F.collect_list(F.when(many, F.col("key"))).over(Window.partitionBy("node"))))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "size", "fine", "fine_scale", "comp", "large")
+    own = Window.partitionBy("node")
+    placed = placed.withColumn("nth", F.row_number().over(own.orderBy(~many, "tree"))).withColumn("large", F.when(many, F.collect_list(F.when(many & (F.col("nth") <= LISTED), F.col("tree"))).over(own)))
+    columns = ["tree", "node", "size", "fine", "fine_scale", "comp", "large"]
+    whole = placed.where(F.col("n") <= BLOCK).select(F.col("tree").alias("key"), *(F.lit(0).alias(c) for c in ("i", "j", "block")), F.lit(False).alias("guest"), *columns)
+    met = whole.unionByName(_banded(placed.where(F.col("n") > BLOCK).select(*columns), percent))
     release(docs.sparkSession)
-    met = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tree_join(percent), "a long, b long").distinct()
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tree_join(percent), "a long, b long").distinct()
     met = written(met.join(tried, ["a", "b"], "left_anti"), "rtree-met")
     discard(trees, open_, known)
     release(docs.sparkSession)
@@ -581,8 +605,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int =
     found = components(links, "rtree-all")
     tagged = nodes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = tagged.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = written(tagged.join(least, "comp").select("node", "component_id"), "rtree-classes")
-    members = written(sets.select(id_column, "size", "node"), "rtree-members")
+    classes = written(tagged.join(least, "comp").select("node", "comp", "component_id"), "rtree-classes")
+    members = written(sets.select(id_column, "version", "size", "node"), "rtree-members")
     discard(sets, nodes, met, found)
     release(docs.sparkSession)
     return members, classes, links
@@ -595,8 +619,20 @@ def classify(docs: DataFrame, id_column: str = "doc_id", **options: int) -> Data
     return members.where("size > 0").join(classes, "node").select(id_column, F.col("size").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", **options: int) -> DataFrame:
-    """One document of each group: the one whose id names the component; rows without an id stay."""
-    found = classify(docs, id_column=id_column, **options)
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
-    return docs.join(gone, id_column, "left_anti")
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: int) -> DataFrame:
+    """The rows, of each group of linked ones only the one with the smallest id; a tie is broken by the text's hash."""
+    members, classes, _ = join(docs, id_column=id_column, text_column=text_column, **options)
+    own, version = unused(docs, "_id"), unused(docs, "_version")
+    rows = members.where("size > 0").join(classes, "node").select("comp", F.col(id_column).alias("id"), "version")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version"))
+    held = rows.groupBy("comp").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = rows.join(held, "comp").groupBy("comp", "id", "version").agg(F.first("f").alias("f"), F.count(F.lit(1)).alias("times"))
+    stays = F.col("id").eqNullSafe(F.col("f.id")) & (F.col("version") == F.col("f.version"))
+    judged = written(several.where(~stays | (F.col("times") > 1)).select(F.col("id").alias(own), F.col("version").alias(version), stays.alias("stays")), "rtree-judged")
+    discard(members, classes)
+    numbered = docs.withColumn(version, F.xxhash64(text_column))
+    same = lambda part: numbered[id_column].eqNullSafe(part[own]) & (numbered[version] == part[version])
+    # of rows that repeat both id and text of the one that stays, any stays
+    repeated = judged.where("stays")
+    kept = numbered.join(repeated, same(repeated), "left_semi").dropDuplicates([id_column, version])
+    return numbered.join(judged, same(judged), "left_anti").unionByName(kept).drop(version)

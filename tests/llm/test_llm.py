@@ -235,8 +235,34 @@ def test_join_on_random_copies(spark):
     assert kept == {c for _, _, c in brute_join(rows)}
 
 
+@pytest.mark.parametrize("limits", [{"BLOCK": 8, "ROUNDS": 0, "LISTED": 1}, {"BLOCK": 20, "ROUNDS": 1, "LISTED": 64}])
+def test_large_trees_lose_no_pair(spark, monkeypatch, limits):
+    """Trees dealt by bands and blocks, pairs told under few listed keys, with and without contraction before."""
+    for name, value in limits.items():
+        monkeypatch.setattr(count_rtree, name, value)
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        n = rng.choice([40, 44, 48, 60, 70])
+        w = [f"s{k}" for k in range(n)]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(n)] = f"e{rng.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in count_rtree.classify(spark.createDataFrame(rows, "doc_id long, text string"), sample_docs=20).collect())
+    assert got == brute_join(rows)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c.upper()), (7, None), (7, ""), (7, None), (8, c + " end"), (9, a + " end"), (2, "one"), (2, "one"), (None, "two"), (None, "two")]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, _id string, _version string, node string")
+    kept = count_rtree.keep_one(docs, words=5, percent=80)
+    assert kept.columns == docs.columns
+    assert sorted(pairs(kept), key=repr) == sorted([(5, a), (3, b), (8, c + " end"), (7, None), (7, ""), (7, None), (2, "one"), (None, "two")], key=repr)
+
+
 def test_join_of_nothing(empty):
-    assert count_rtree.classify(empty).count() == 0
+    assert count_rtree.classify(empty).count() == 0 and count_rtree.keep_one(empty).count() == 0
 
 
 def test_tree_finds_every_pair_that_its_bound_allows():
