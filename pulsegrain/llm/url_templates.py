@@ -1,21 +1,34 @@
 """URL filters: given rules first, and a path-template tree per host for the rest.
 
 Rules name a host (with its subdomains) and a path prefix; the longest that fits wins.  Their verdicts
-are also the labels the tree learns from.  Per host, path segments that vary (numbers, long hex, or
-one of many rare siblings) become wildcards level by level; sibling branches whose labelled shares do
-not differ significantly from each other's pool are merged; a template is rejected if its blocked
-share, smoothed towards its host's and that towards the corpus's, reaches `reject`.
+are also the labels the trees learn from.  A host's tree is grown level by level from its root:
 
-Only counts per distinct (host, path shape) enter the tree, pre-aggregated on the map side, so that a
-host with a third of all rows costs no more than another.
+1. Generalise: numbers and long hex segments are wildcards; of more than `many` siblings those with
+   less than the share `rare` of their parent's urls become one wildcard.
+2. Merge: labelled siblings in the order of their blocked share are compared with the one before by a
+   two-sample test of proportions; neighbours that do not differ (|z| <= `similar_z`) become one
+   branch, and the next level is grown under it.
+3. Judge: a branch's purity is its blocked share, smoothed by `parent_weight` labels of its parent's
+   purity and `corpus_weight` labels of what all hosts together say about the same path; that is
+   smoothed towards its own parent in the same way, and at the root the share of all labels.
 
-Defined results: a null url or one without `://` has an empty host and path and is allowed; an empty
-path has the template `/`; repeated rows get repeated verdicts; other columns are not read.
+A tree is grown where at least two path shapes part, to any depth.  A url's template is the branch it
+ends in, and is rejected if its purity reaches `reject`.  A branch without labels is thus judged by
+its host's neighbouring branches and by other hosts' labels for the same path, and a host without
+labels by other hosts' alone.
+
+Only counts per distinct (host, path shape) enter the trees, pre-aggregated on the map side, so that a
+host with a third of all rows costs no more than another; a parent has at most about
+`many` + 1 / `rare` named children, so that no window holds more.
+
+Defined results: a null url or one without `://` has an empty host and path and is allowed, without
+template and purity, and takes no part in the trees; an empty path has the template `/`; without
+labels everything is allowed; repeated rows get repeated verdicts; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -23,7 +36,6 @@ from .common import discard, written
 #: Verdict and host/path of each rule.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 4  #: levels of the tree; the last one holds the rest of the path
 VARIABLE = r"^[0-9]+(\.[A-Za-z0-9]+)?$|^[0-9a-fA-F-]{16,}$"
 
 
@@ -44,46 +56,75 @@ def match(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def _generalised(shapes: DataFrame, many: int, rare: float) -> DataFrame:
-    """Adds `template`: the shape with one of many rare siblings replaced by `*`, level by level."""
-    out = shapes.withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        out = out.withColumn("segment", F.get("segments", F.lit(level - 1)))
-        child = out.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.sum("n").alias("n_child"))
-        parent = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n_child").alias("n_parent"))
-        named = child.join(parent, ["host", "template"]).select(
-            "host", "template", "segment", F.when((F.col("children") > many) & (F.col("n_child") < rare * F.col("n_parent")), F.lit("*")).otherwise(F.col("segment")).alias("name")
-        )
-        out = out.join(named, ["host", "template", "segment"], "left").withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name"))).drop("segment", "name")
+def _branches(live: DataFrame, many: int, rare: float, similar_z: float) -> DataFrame:
+    """(host, template, segment, branch): the branch of the next level that each segment falls into."""
+    place = ["host", "template"]
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    child = live.groupBy(*place, "segment").agg(*sums)
+    parent = child.groupBy(*place).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("n_parent"))
+    minor = (F.col("children") > many) & (F.col("n") < rare * F.col("n_parent"))
+    named = child.join(parent, place).withColumn("name", F.when(minor, F.lit("*")).otherwise(F.col("segment")))
+    share = F.try_divide("blocked", "labelled")
+    ahead = Window.partitionBy(*place).orderBy(share, "name")
+    node = named.groupBy(*place, "name").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).where("labelled > 0")
+    node = node.select("*", F.lag("labelled").over(ahead).alias("l0"), F.lag("blocked").over(ahead).alias("b0"))
+    pool = (F.col("blocked") + F.col("b0")) / (F.col("labelled") + F.col("l0"))
+    spread = F.sqrt(pool * (1 - pool) * (1 / F.col("labelled") + 1 / F.col("l0")))
+    apart = F.col("l0").isNull() | (F.abs(share - F.col("b0") / F.col("l0")) > similar_z * spread)
+    node = node.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(ahead))
+    names = F.sort_array(F.collect_list("name").over(Window.partitionBy(*place, "group")))
+    merged = node.select(*place, "name", F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("name")).alias("branch"))
+    return named.select(*place, "segment", "name").join(merged, [*place, "name"], "left").select(*place, "segment", F.coalesce("branch", "name").alias("branch"))
+
+
+def _grown(rows: DataFrame, many: int, rare: float, similar_z: float, parent_weight: float, corpus_weight: float) -> DataFrame:
+    """One level deeper: rows with their segment, template, purities (host's and corpus's) and whether to go on."""
+    live = rows.where("open").withColumn("segment", F.get("rest", F.lit(0)))
+    placed = live.join(_branches(live, many, rare, similar_z), ["host", "template", "segment"]).withColumn("raw", F.concat_ws("/", "raw", "segment"))
+    corpus = live.groupBy(F.concat_ws("/", "raw", "segment").alias("raw")).agg(((F.sum("blocked") + parent_weight * F.first("shared")) / (F.sum("labelled") + parent_weight)).alias("shared_"))
+    placed = placed.join(corpus, "raw").withColumn("rest", F.slice("rest", 2, 1 << 20))
+    branch = placed.groupBy("host", "template", "branch").agg(
+        ((F.sum("blocked") + parent_weight * F.first("purity") + corpus_weight * F.sum(F.col("shared_") * F.col("n")) / F.sum("n")) / (F.sum("labelled") + parent_weight + corpus_weight)).alias("purity_"),
+        F.count(F.lit(1)).alias("shapes"),
+    )
+    deeper = (F.col("shapes") > 1) & (F.size("rest") > 0)
+    tail = F.when(deeper | (F.size("rest") == 0), F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join("rest", "/")))
+    return placed.join(branch, ["host", "template", "branch"]).select(
+        "host", "shape", "rest", "n", "labelled", "blocked", F.concat("template", F.lit("/"), "branch", tail).alias("template"), "raw", F.col("purity_").alias("purity"), F.col("shared_").alias("shared"), deeper.alias("open")
+    )
+
+
+def templates(counts: DataFrame, many: int = 20, rare: float = 0.05, similar_z: float = 1.96, parent_weight: float = 2.0, corpus_weight: float = 10.0) -> DataFrame:
+    """(host, shape, template, purity) of (host, shape, n, labelled, blocked)."""
+    total = counts.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
+    prior = F.lit((total["b"] or 0) / total["n"] if total["n"] else 0.0)
+    root = counts.groupBy("host").agg(((F.sum("blocked") + corpus_weight * prior) / (F.sum("labelled") + corpus_weight)).alias("purity"))
+    rest = F.filter(F.split("shape", "/"), lambda s: s != "")
+    rows = counts.join(root, "host").select("host", "shape", rest.alias("rest"), "n", "labelled", "blocked", F.lit("").alias("template"), F.lit("").alias("raw"), "purity", prior.alias("shared"), (F.size(rest) > 0).alias("open"))
+    rows, finished = written(rows, "url-level"), []
+    while True:
+        finished.append(rows.where("NOT open").select("host", "shape", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), F.round("purity", 6).alias("purity")))
+        if rows.where("open").isEmpty():
+            break
+        rows = written(_grown(rows, many, rare, similar_z, parent_weight, corpus_weight), "url-level")
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, many: int = 20, rare: float = 0.05, host_weight: float = 5.0, corpus_weight: float = 20.0, similar_z: float = 1.96, reject: float = 0.7, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: float = 0.7, id_column: str = "page_id", url_column: str = "url", **tree: float) -> DataFrame:
     """Per row: id, host, path, rule, verdict, template and purity (smoothed blocked share)."""
     host, path = parse(F.col(url_column))
-    read = pages.select(id_column, host.alias("host"), path.alias("path"))
+    read = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = match(F.col("host"), F.col("path"), rules)
-    cut = F.filter(F.split("path", "/"), lambda s: s != "")
-    cut = F.when(F.size(cut) > DEPTH, F.concat(F.slice(cut, 1, DEPTH - 1), F.array(F.array_join(F.slice(cut, DEPTH, 1 << 20), "/")))).otherwise(cut)
-    shape = F.transform(cut, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    shape = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
     urls = read.select("*", rule.alias("rule"), verdict.alias("ruled"), F.concat(F.lit("/"), F.array_join(shape, "/")).alias("shape"))
-    counts = urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    shapes = written(counts.withColumn("segments", F.filter(F.split("shape", "/"), lambda s: s != "")), "url-shapes")
-    tree = written(_generalised(shapes, many, rare).select("host", "shape", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), "labelled", "blocked"), "url-tree")
-    sums = [F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    leaf = tree.groupBy("host", "template").agg(*sums).withColumn("parent", F.regexp_extract("template", r"^(.*)/[^/]*$", 1))
-    pool = leaf.groupBy("host", "parent").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"))
-    mean = F.try_divide("pool_b", "pool_n")
-    spread = F.sqrt(F.try_divide(mean * (1 - mean), F.col("labelled")))
-    alike = (F.col("labelled") > 0) & (F.abs(F.try_divide("blocked", "labelled") - mean) <= similar_z * spread)
-    merged = leaf.join(pool, ["host", "parent"]).withColumn("branch", F.when(F.coalesce(alike, F.lit(False)), F.concat("parent", F.lit("/~"))).otherwise(F.col("template")))
-    by_host = leaf.groupBy("host").agg(F.sum("labelled").alias("host_n"), F.sum("blocked").alias("host_b"))
-    total = leaf.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
-    prior = (total["b"] or 0) / total["n"] if total["n"] else 0.0
-    branch = merged.groupBy("host", "branch").agg(*sums).join(by_host, "host")
-    host_share = (F.col("host_b") + corpus_weight * prior) / (F.col("host_n") + corpus_weight)
-    purity = branch.select("host", "branch", ((F.col("blocked") + host_weight * host_share) / (F.col("labelled") + host_weight)).alias("purity"))
-    judged = written(tree.select("host", "shape", "template").join(merged.select("host", "template", "branch"), ["host", "template"]).join(purity, ["host", "branch"]).select("host", "shape", "template", "purity"), "url-verdicts")
-    discard(shapes, tree)
+    given = urls.where("host <> '' OR path <> ''")
+    counts = written(given.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")), "url-shapes")
+    judged = written(templates(counts, **tree), "url-verdicts")
+    discard(counts)
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
-    return urls.join(judged, ["host", "shape"], "left").select(id_column, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")
+    known = judged.select(F.col("host").alias("at_host"), F.col("shape").alias("at_shape"), "template", "purity")
+    joined = urls.join(known, (urls.host == known.at_host) & (urls["shape"] == known.at_shape) & ((urls.host != "") | (urls.path != "")), "left")
+    return joined.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")

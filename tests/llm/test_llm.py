@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -185,6 +186,94 @@ def test_url_templates_reject_a_bad_branch(spark):
     assert url_templates.judge(pages.limit(0), rules).count() == 0
 
 
+def test_urls_without_a_host_are_allowed_whatever_the_labels(spark):
+    urls = [None, "nonsense", "://", "://?x", *(f"http://a.com/de/{k}" for k in range(200))]
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).where("page_id < 4").collect()
+    assert [(r["host"], r["path"], r["verdict"], r["template"], r["purity"]) for r in got] == [("", "", "allow", None, None)] * 4
+
+
+def brute_templates(counts, many=20, rare=0.05, z=1.96, wp=2.0, wc=10.0):
+    """{(host, shape): (template, purity)} of (host, shape, n, labelled, blocked)."""
+    total, blocked = sum(c[3] for c in counts), sum(c[4] for c in counts)
+    prior, out = blocked / total if total else 0.0, {}
+    group = lambda rows, key: [list(g) for _, g in itertools.groupby(sorted(rows, key=key), key)]
+    add = lambda rows, k: sum(r["c"][k] for r in rows)
+    rows = []
+    for mine in group([{"c": c, "rest": [s for s in c[1].split("/") if s], "template": "", "raw": "", "shared": prior} for c in counts], lambda r: r["c"][0]):
+        for r in mine:
+            r["purity"] = (add(mine, 4) + wc * prior) / (add(mine, 3) + wc)
+        rows += mine
+    while rows:
+        for r in rows:
+            if not r["rest"]:
+                out[r["c"][:2]] = (r["template"] or "/", r["purity"])
+        rows = [r for r in rows if r["rest"]]
+        for r in rows:
+            r["segment"], r["rest"] = r["rest"][0], r["rest"][1:]
+            r["raw"] += "/" + r["segment"]
+        for same in group(rows, lambda r: r["raw"]):
+            shared = (add(same, 4) + wp * same[0]["shared"]) / (add(same, 3) + wp)
+            for r in same:
+                r["new_shared"] = shared
+        after = []
+        for siblings in group(rows, lambda r: (r["c"][0], r["template"])):
+            children = group(siblings, lambda r: r["segment"])
+            for c in children:
+                for r in c:
+                    r["name"] = "*" if len(children) > many and add(c, 2) < rare * add(siblings, 2) else r["segment"]
+            nodes = group(siblings, lambda r: r["name"])
+            merged, last = [], None
+            for node in sorted((x for x in nodes if add(x, 3)), key=lambda x: (add(x, 4) / add(x, 3), x[0]["name"])):
+                l1, b1 = add(node, 3), add(node, 4)
+                if last:
+                    pool = (b1 + last[1]) / (l1 + last[0])
+                    if abs(b1 / l1 - last[1] / last[0]) <= z * math.sqrt(pool * (1 - pool) * (1 / l1 + 1 / last[0])):
+                        merged[-1].append(node)
+                        last = l1, b1
+                        continue
+                merged.append([node])
+                last = l1, b1
+            for branch in merged + [[x] for x in nodes if not add(x, 3)]:
+                names, inside = sorted(x[0]["name"] for x in branch), [r for x in branch for r in x]
+                purity = (add(inside, 4) + wp * inside[0]["purity"] + wc * sum(r["new_shared"] * r["c"][2] for r in inside) / add(inside, 2)) / (add(inside, 3) + wp + wc)
+                for r in inside:
+                    r["new"] = r["template"] + "/" + (names[0] if len(names) == 1 else "{" + "|".join(names) + "}"), purity
+                if len(inside) == 1:
+                    r = inside[0]
+                    out[r["c"][:2]] = "/".join([r["new"][0], *r["rest"]]), purity
+                else:
+                    after += inside
+        for r in after:
+            (r["template"], r["purity"]), r["shared"] = r["new"], r["new_shared"]
+        rows = after
+    return out
+
+
+def test_templates_equal_a_plain_restatement(spark):
+    rng = random.Random(9)
+    counts = []
+    for host in ("a.com", "b.org", "c.net", ""):
+        for k in range(90):
+            depth = rng.randint(0, 6)
+            shape = "/" + "/".join(rng.choice(["x", "y", "z", f"s{rng.randrange(60)}"]) for _ in range(depth))
+            n = rng.randint(1, 40)
+            labelled = 0 if host == "c.net" else rng.choice([0, n])
+            counts.append((host, shape, n, labelled, rng.choice([0, labelled, labelled // 2])))
+    counts = list({c[:2]: c for c in counts}.values())
+    want = brute_templates(counts)
+    got = {(r["host"], r["shape"]): (r["template"], r["purity"]) for r in url_templates.templates(spark.createDataFrame(counts, "host string, shape string, n long, labelled long, blocked long")).collect()}
+    assert got.keys() == want.keys()
+    for key, (template, purity) in want.items():
+        assert got[key][0] == template and math.isclose(got[key][1], purity, abs_tol=2e-6), key
+    assert any("{" in t for t, _ in want.values())
+
+
+def test_unlabelled_branches_follow_the_labels_of_their_path(spark):
+    urls = [f"http://{host}.example.{end}/{lang}/{k}" for host in "abc" for end in ("org", "com", "net") for lang in ("en", "es", "fr") for k in range(200, 230)]
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).where("rule IS NULL").select("host", "template", "verdict").distinct().collect()
+    assert {(r["host"].rsplit(".", 1)[1], r["template"], r["verdict"]) for r in got} == {("com", "/en/*", "allow"), ("com", "/es/*", "block"), ("net", "/en/*", "allow"), ("net", "/es/*", "block"), ("net", "/fr/*", "allow")}
+
+
 # --- 3 n-gram join --------------------------------------------------------------------------------
 
 
