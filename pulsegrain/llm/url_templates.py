@@ -95,22 +95,25 @@ def _grown(rows: DataFrame, many: int, rare: float, similar_z: float, parent_wei
 
 
 def templates(counts: DataFrame, many: int = 20, rare: float = 0.05, similar_z: float = 1.96, parent_weight: float = 2.0, corpus_weight: float = 10.0) -> DataFrame:
-    """(host, shape, template, purity) of (host, shape, n, labelled, blocked)."""
+    """(host, shape, template, purity) of (host, shape, n, labelled, blocked), written once."""
     total = counts.agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).first()
     prior = F.lit((total["b"] or 0) / total["n"] if total["n"] else 0.0)
     root = counts.groupBy("host").agg(((F.sum("blocked") + corpus_weight * prior) / (F.sum("labelled") + corpus_weight)).alias("purity"))
     rest = F.filter(F.split("shape", "/"), lambda s: s != "")
     rows = counts.join(root, "host").select("host", "shape", rest.alias("rest"), "n", "labelled", "blocked", F.lit("").alias("template"), F.lit("").alias("raw"), "purity", prior.alias("shared"), (F.size(rest) > 0).alias("open"))
-    rows, finished = written(rows, "url-level"), []
+    levels, finished = [written(rows, "url-level")], []
     while True:
+        rows = levels[-1]
         finished.append(rows.where("NOT open").select("host", "shape", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"), F.round("purity", 6).alias("purity")))
         if rows.where("open").isEmpty():
             break
-        rows = written(_grown(rows, many, rare, similar_z, parent_weight, corpus_weight), "url-level")
+        levels.append(written(_grown(rows, many, rare, similar_z, parent_weight, corpus_weight), "url-level"))
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
-    return out
+    done = written(out, "url-verdicts")
+    discard(*levels)
+    return done
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: float = 0.7, id_column: str = "page_id", url_column: str = "url", **tree: float) -> DataFrame:
@@ -122,7 +125,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, reject: float
     urls = read.select("*", rule.alias("rule"), verdict.alias("ruled"), F.concat(F.lit("/"), F.array_join(shape, "/")).alias("shape"))
     given = urls.where("host <> '' OR path <> ''")
     counts = written(given.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")), "url-shapes")
-    judged = written(templates(counts, **tree), "url-verdicts")
+    judged = templates(counts, **tree)
     discard(counts)
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     known = judged.select(F.col("host").alias("at_host"), F.col("shape").alias("at_shape"), "template", "purity")

@@ -910,6 +910,47 @@ def test_pipeline_stages(spark, data, tmp_path):
     assert all(a >= b for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[0] > sizes[-1] > 0.5 * sizes[0]
 
 
+def test_pipeline_stages_equal_plain_restatements(spark, data, docs, sample, tmp_path):
+    import sentencepiece
+
+    both = docs.select(*corpus_pipeline.COLUMNS).unionByName(sample.select(*corpus_pipeline.COLUMNS))
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    library = sentencepiece.SentencePieceProcessor(model_file=f"{registry.TOKENIZERS}/piece_bpe_32k.model")
+    both.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "start"))
+    now = spark.read.parquet(str(tmp_path / "start"))
+    rows, chain = pairs(now), line_crf.train(now, spark.read.parquet(f"{data}/labels.parquet"))
+
+    def first_of_groups(rows):
+        known = {(d, t): c for (d, t), (_, _, c) in zip(sorted(((d, t) for d, t in rows if d is not None), key=lambda r: r[0]), sorted(brute_join([r for r in rows if r[0] is not None], 5, 80)), strict=True)}
+        return [r for r in rows if r[0] is None or known[r] == r[0]]
+
+    def deduped(rows):
+        held = collections.defaultdict(set)
+        key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOW)
+        for d, t in rows:
+            for line in t.split("\n"):
+                held[key(line)].add(d)
+        cut = [(d, "\n".join(x for x in t.split("\n") if len(key(x)) < 40 or len(held[key(x)]) < 5 or d == max(held[key(x)]))) for d, t in rows]
+        return [r for r in cut if SPACE_WORD.search(r[1])]
+
+    kept = {(r["doc_id"], r["n_words"], r["word_chars"]): r["kept"] for r in line_crf.judge(now, chain).collect()}
+    restated = [
+        lambda rows: [(d, t) for d, t in rows if kept[d, len(SPACE_WORD.findall(t or "")), sum(map(len, SPACE_WORD.findall(t or "")))]],
+        deduped,
+        first_of_groups,
+        lambda rows: [r for r in rows if not brute_hits(bench, r[1])[-1]],
+    ]
+    for (name, stage), restate in zip(corpus_pipeline.STAGES, [*restated, None], strict=True):
+        done = stage(spark, now, data)
+        if restate is None:
+            want = sorted((d, len(library.encode(t)) + 1, sha(" ".join(map(str, [*library.encode(t), library.eos_id()]))), sha(library.decode([*library.encode(t), library.eos_id()]))) for d, t in rows)
+            assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in done.collect()) == want
+            break
+        done.write.parquet(str(tmp_path / name))
+        now, rows = spark.read.parquet(str(tmp_path / name)), restate(rows)
+        assert sorted(pairs(now)) == sorted(rows), name
+
+
 def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, df in (("odd", plain), ("none", plain.limit(0))):
