@@ -123,10 +123,40 @@ def score_numeric_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(spark, sf_dir).select("event_id", tx.within(tx.first_number(F.col("t")), F.col("value"), F.lit(0.5)).alias("score"))
 
 
-@query(None)
+_NUMBERS = f"""CASE event_id % 5 WHEN 0 THEN 'min 31 and max ' || CAST(floor(value) AS BIGINT) || ' over this window; the pulse rate seems to be approximately ' || round(value + 0.25, 2) || ' now'
+WHEN 1 THEN 'normal range is 60-100, I would say about ' || CAST(floor(value) AS BIGINT) WHEN 2 THEN CAST(floor(value) AS BIGINT) || ' bpm' WHEN 3 THEN 'no number' ELSE 'window 12 started; it took ' || (event_id % 90) || ' of them, then -3.5 and .5' END"""
+_CUED = f""", np AS (SELECT event_id, event_type, value, {_NUMBERS} AS t FROM m), nl AS (SELECT *, regexp_extract_all(t, '{tx.NUMBER}') AS n, string_split_regex(t, '{tx.NUMBER}') AS p FROM np),
+nx AS (SELECT *, list_transform(range(1, len(n) + 1), lambda i: {{'v': CAST(n[i] AS DOUBLE), 's': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(n[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'l': length(n[i])}}) AS c FROM nl),
+ny AS (SELECT *, list_transform(c, lambda x: {{'v': x.v, 'near': substr(t, greatest(x.s - {tx.REACH}, 0) + 1, x.s + x.l + {tx.REACH} - greatest(x.s - {tx.REACH}, 0))}}) AS w FROM nx),
+nz AS (SELECT *, list_transform(list_filter(w, lambda x: regexp_matches(x.near, '(?i){tx.CUE}') AND NOT regexp_matches(x.near, '(?i){tx.DISTRACTOR}')), lambda x: x.v) AS f FROM ny)"""
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows(spark, sf_dir).select("event_id", "event_type", "value", F.expr(_NUMBERS.replace("CAST(floor(value) AS BIGINT)", "CAST(floor(value) AS STRING)")).alias("t"))
+
+
+@query(_CUED + "SELECT event_id, array_to_string(list_transform(f, lambda x: printf('%.2f', x)), ',') AS preferred FROM nz")
+def answer_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.transform(tx.answer_numbers(F.col("t")), lambda x: F.format_string("%.2f", x))
+    return _numbers(spark, sf_dir).select("event_id", F.array_join(found, ",").alias("preferred"))
+
+
+_NUMERIC = "coalesce(CASE WHEN len(f) > 0 THEN len(list_filter(f, lambda x: abs(x - value) <= 0.5)) > 0 ELSE abs(n[1]::DOUBLE - value) <= 0.5 END, FALSE)"
+
+
+@query(_CUED + f"SELECT event_id, {_NUMERIC} AS score FROM nz")
 def score_numeric_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers with cues near them; positions need a vectorised function, tested against single cases."""
-    return _predictions(spark, sf_dir).select("event_id", tx.numeric_score(F.col("t"), F.col("value").cast("string"), F.lit(0.5)).alias("score"))
+    """Numbers with cues near them, else the first number."""
+    return _numbers(spark, sf_dir).select("event_id", tx.numeric_score(F.col("t"), F.col("value").cast("string"), F.lit(0.5)).alias("score"))
+
+
+@query(_CUED + f"SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN {_NUMERIC} WHEN event_type = 'purchase' THEN t = 'no number' ELSE FALSE END AS score FROM nz")
+def score_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row by its own evaluation method."""
+    kind = F.col("event_type")
+    method = F.when(kind.isin("view", "click"), "numeric_tolerance").when(kind == "purchase", "normalized_match").otherwise("boolean_match")
+    gold = F.when(kind == "purchase", "no number").otherwise(F.col("value").cast("string"))
+    return _numbers(spark, sf_dir).select("event_id", tx.score(method, F.col("t"), gold, F.lit(0.5), ["yes number"]).alias("score"))
 
 
 @query("""SELECT rhythm_class, event_type, count(*) AS n, round(avg(CASE WHEN value > 200 THEN 1 WHEN value > 100 THEN 0 ELSE 0 END), 9) AS accuracy FROM m GROUP BY GROUPING SETS ((), (rhythm_class), (event_type))""")

@@ -174,12 +174,23 @@ def test_matching(spark):
 
 
 def test_scoring_texts(spark):
-    df = spark.createDataFrame(
-        [("Yes, this window is positive.", "yes"), ("A. low heart rate", "low"), ("about 74 bpm", "72"), ("min 31 max 122 and the pulse, as far as it can be told, is approximately 60", "62.3"), ("normal range is 60-100 and it is about 80", "82")], "p string, g string"
-    )
-    got = df.select(tx.boolean_score(F.col("p"), F.col("g")).alias("b"), tx.category_score(F.col("p"), F.col("g"), ["low", "normal", "high"]).alias("c"), tx.answer_numbers("p").alias("n")).collect()
-    assert got[0]["b"] and got[1]["c"]
-    assert got[2]["n"] == [74.0] and got[3]["n"] == [60.0] and got[4]["n"] == []
+    cases = [
+        ("boolean_match", "Yes: the segment tests positive", "yes", None, True),
+        ("normalized_match", "A. low heart rate", "low", None, True),
+        ("numeric_tolerance", "about 74 bpm", "72", 3.0, True),
+        ("numeric_tolerance", "min 31 and max 122 in here; all in all the pulse rate is approximately 60", "62.3", 5.0, True),
+        ("numeric_tolerance", "normal range is 60-100 and it is about 80", "82", 5.0, False),
+        ("numeric_tolerance", "about 74 bpm", "72", 0.0, True),  # only a positive tolerance is absolute
+        ("numeric_tolerance", "about 80 bpm", "72", None, False),
+        ("numeric_tolerance", None, "72", 3.0, False),
+    ]
+    df = spark.createDataFrame(cases, "m string, p string, g string, t double, want boolean")
+    got = df.select("want", tx.score(F.col("m"), F.col("p"), F.col("g"), F.col("t"), ["low", "normal", "high"]).alias("b"), tx.answer_numbers(F.col("p")).alias("n")).collect()
+    assert [r["b"] for r in got] == [r["want"] for r in got]
+    assert got[2]["n"] == [74.0] and got[3]["n"] == [60.0] and got[4]["n"] == [] and got[7]["n"] == []
+    with pytest.raises(Exception, match="unknown evaluation method"):
+        df.select(tx.score(F.lit("other"), F.col("p"), F.col("g"), F.col("t"), [])).collect()
+    assert [tx.relative_tolerance(x) for x in (None, " ", "0.1", "-3", "x")] == [0.05, 0.05, 0.1, 0.0, 0.05]
 
 
 def test_text_helpers(spark):
