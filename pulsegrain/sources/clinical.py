@@ -28,13 +28,17 @@ def read_index(spark: SparkSession, index: str, statements: str, code_column: st
     return rows.join(classes, key, "left").withColumns({"classes": F.coalesce("classes", F.array().cast("array<string>")), "sex_text": sex})
 
 
-def uploaded(spark: SparkSession, folder: str, limit: int) -> DataFrame:
-    """Uploaded record files, newest first."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+def newest(files: DataFrame, limit: int) -> DataFrame:
+    """Record files of a listing, newest first; empty ones cannot be read and are left out."""
     name = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     return files.select(name.alias("record_id"), "modificationTime", "length").where("length > 0").orderBy(F.desc("modificationTime"), "record_id").limit(limit)
 
 
+def uploaded(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+    """Uploaded record files, newest first."""
+    return newest(spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder), limit)
+
+
 def patients(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct patient numbers of a directory layout `p00123/...`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")

@@ -84,6 +84,27 @@ def read_annotations(path: Path) -> list[tuple[int, str, str]]:
     return out
 
 
+def write_record(folder: Path, name: str, rate: int, signals: dict[str, list[float]], marks: list[tuple[int, str, str]] = (), gain: float = 200.0) -> None:
+    """A record of format 16 with annotations (sample, symbol, note), for exchange with other readers."""
+    folder.mkdir(parents=True, exist_ok=True)
+    values = np.stack([np.round(np.asarray(x, float) * gain).astype("<i2") for x in signals.values()], axis=1)
+    (folder / f"{name}.dat").write_bytes(values.tobytes())
+    lines = [f"{name} {len(signals)} {rate} {len(values)}", *(f"{name}.dat 16 {gain:g}/mV 16 0 0 0 0 {lead}" for lead in signals)]
+    (folder / f"{name}.hea").write_text("\n".join(lines) + "\n")
+    code, out, at = {v: k for k, v in SYMBOLS.items()}, bytearray(), 0
+    for sample, symbol, note in sorted(marks, key=lambda m: m[0]):
+        step = sample - at
+        if step > 0x3FF:
+            out += struct.pack("<HHH", SKIP << 10, step >> 16, step & 0xFFFF)
+            step = 0
+        out += struct.pack("<H", code[symbol] << 10 | step)
+        at = sample
+        if note:
+            text = note.encode()
+            out += struct.pack("<H", AUX << 10 | len(text)) + text + b"\0" * (len(text) % 2)
+    (folder / f"{name}.atr").write_bytes(bytes(out) + b"\0\0")
+
+
 class WfdbReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.records = options.get("root", "."), [r for r in options.get("records", "").split(",") if r]
