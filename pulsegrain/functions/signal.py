@@ -58,6 +58,19 @@ def dominant_frequency_array(x: np.ndarray, rate: float, low: float = 0.7, high:
     return float(f[band][power[band].argmax()]), float(power[band].sum() / total)
 
 
+def dominant_rate_array(x: np.ndarray, rate: float, low: float = 0.7, high: float = 3.0) -> list[float]:
+    """Beats a minute of the strongest frequency of the band and its share of the band's power; zeros under four seconds."""
+    x = x[np.isfinite(x)]
+    if len(x) < max(8, rate * 4):
+        return [0.0, 0.0]
+    power, f = np.abs(np.fft.rfft(x - x.mean())) ** 2, np.fft.rfftfreq(len(x), 1 / rate)
+    band = (f >= low) & (f <= high)
+    if not band.any() or power[band].sum() <= 0:
+        return [0.0, 0.0]
+    top = int(power[band].argmax())
+    return [float(f[band][top] * 60), float(power[band][top] / power[band].sum())]
+
+
 def sample_entropy_array(x: np.ndarray, m: int = 2, share: float = 0.2, most: int = 1000) -> float:
     """-log of the share of m-matches that stay matches with one value more; nan without matches."""
     x = x[:most]
@@ -96,6 +109,11 @@ def dominant_frequency(signal: pd.Series, rate: pd.Series) -> pd.Series:
     return _each(signal, rate, lambda x, r: list(dominant_frequency_array(x, r)))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def dominant_rate(signal: pd.Series, rate: pd.Series) -> pd.Series:
+    return _each(signal, rate, dominant_rate_array)
+
+
 @F.pandas_udf(T.DoubleType())
 def sample_entropy(values: pd.Series) -> pd.Series:
     return values.map(lambda x: sample_entropy_array(np.asarray([] if x is None else x, float)))

@@ -19,6 +19,7 @@ from pulsegrain.functions import morphology as mo
 from pulsegrain.functions import signal as sg
 from pulsegrain.functions import text as tx
 from pulsegrain.functions import vitals as vt
+from pulsegrain.operators import catalogues as ct
 from pulsegrain.operators import rules as rl
 from pulsegrain.operators import sequence as seq
 from pulsegrain.operators import state as st
@@ -66,6 +67,13 @@ class Session:
         self.states = with_effective_keys(spark.createDataFrame([], STATE))
         self.contexts: DataFrame | None = None
         self.recordings: DataFrame | None = None
+        self.wearables: DataFrame | None = None
+        self.references: DataFrame | None = None
+        self.wfdb_root = "."
+        self.diagnose: Callable[[DataFrame, str], DataFrame] | None = None
+        self.held_out_subjects: list[str] = []
+        self.manifest: list[dict] = []
+        self.hide_labels = False
         self.disabled: set[str] = set()
 
     def call(self, name: str, **arguments) -> dict:
@@ -229,10 +237,16 @@ def _with_intervals(session: Session, record_id: str) -> DataFrame:
 
 
 @tool
-def list_ecg_records(session: Session, limit: int = 20) -> list[dict]:
+def list_ecg_records(session: Session, limit: int = 20, age_min: float | None = None, age_max: float | None = None, diagnostic_class: str | None = None) -> list[dict]:
+    """Uploaded records first, then clinical ones; an unknown age fails a bound, classes are those of the metadata."""
     if session.recordings is None:
         return []
-    return _rows(session.recordings.select("record_id", "source", "sampling_rate", F.size("signal").alias("samples")).orderBy("source", "record_id").limit(limit))
+    m = F.col("metadata")
+    found = ct.search(session.recordings.withColumns({"age": m["age"].try_cast("double"), "sex": m["sex"]}), "age", "sex", age_min, age_max, None)
+    if diagnostic_class is not None:
+        found = found.where(F.array_contains(F.split(F.coalesce(m["classes"], F.lit("")), ","), diagnostic_class))
+    order = F.when(F.col("source") == "uploaded", 0).otherwise(1)
+    return _rows(found.orderBy(order, "source", "record_id").limit(limit).select("record_id", "source", "sampling_rate", F.size("signal").alias("samples"), "age"))
 
 
 @tool
@@ -350,3 +364,6 @@ def get_ppg_description(session: Session, record_id: str) -> str:
 @tool
 def get_ppg_metadata(session: Session, record_id: str) -> dict:
     return get_ecg_metadata(session, record_id)
+
+
+from . import tools_signal  # noqa: E402,F401  registers its tools
