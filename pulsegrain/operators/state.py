@@ -55,9 +55,8 @@ def contexts(states: DataFrame, keys: list[str], order: str, modality: str, star
 def current_as_of(states: DataFrame, probes: DataFrame, keys: list[str], start: str, end: str, order: str, at: str) -> DataFrame:
     """For each probe (keys, at) the first state that contains it, else the latest with start <= at.
 
-    Probes and states are merged in one sorted pass per timeline (no range join): the latest state
-    before a probe is carried forward; states are tiles or overlap, so the running candidates are the
-    states whose end lies beyond the probe, of which the first is taken.
+    Probes and states are merged in one sorted pass per timeline: the latest state before a probe is
+    carried forward, and with it how far any state reaches, which tells the probes that need a search.
     """
     known = states.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     tagged = known.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_probe"), F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(order).alias("o")).alias("_state"), F.lit(None).cast(dict(probes.dtypes)[at]).alias(at))
@@ -66,9 +65,17 @@ def current_as_of(states: DataFrame, probes: DataFrame, keys: list[str], start:
     w = Window.partitionBy(*keys).orderBy("_t", "_probe", "_state.o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumn("_last", F.last("_state", ignorenulls=True).over(w)).withColumn("_reach", F.max("_state.e").over(w)).where("_probe = 1")
     simple = carried.select(*keys, at, F.col("_last.o").alias("picked"), (F.col("_last.e") > F.col(at)).alias("contains"), (F.col("_reach") > F.col(at)).alias("_any"))
-    # only probes whose latest state has ended while an earlier, longer one still runs need the overlap search
+    # Only probes whose latest state has ended while an earlier, longer one still runs need the overlap search.
+    # A state is in the two bins it may touch among bins of its own length (a power of two), a probe in one
+    # bin of each length that its timeline has: equi-joins whose pairs are near overlaps.
     odd = simple.where("_any AND NOT contains").select(*keys, at)
-    first = odd.join(known.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(order).alias("_o")), keys).where((F.col("_s") <= F.col(at)) & (F.col("_e") > F.col(at))).groupBy(*keys, at).agg(F.min("_o").alias("_first"))
+    length = F.col(end) - F.col(start)
+    sized = known.where(length > 0).withColumn("_level", F.ceil(F.log2(length.cast("double"))).cast("int"))
+    step = F.pow(F.lit(2.0), F.col("_level"))
+    place = F.floor(F.col(start) / step)
+    placed = sized.select(*keys, "_level", F.explode(F.array(place, place + 1)).alias("_bin"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(order).alias("_o"))
+    asking = odd.join(sized.select(*keys, "_level").distinct(), keys).withColumn("_bin", F.floor(F.col(at) / step))
+    first = asking.join(placed, [*keys, "_level", "_bin"]).where((F.col("_s") <= F.col(at)) & (F.col("_e") > F.col(at))).groupBy(*keys, at).agg(F.min("_o").alias("_first"))
     return simple.join(first, [*keys, at], "left").select(*keys, at, F.coalesce("_first", "picked").alias("picked"), (F.col("contains") | F.col("_first").isNotNull()).alias("contains"))
 
 

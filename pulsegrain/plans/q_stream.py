@@ -70,16 +70,34 @@ def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.run_to_end(spark, done, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
-@query(None)
+_COLD = 20
+#: The recurrence by recursion: mean vector, distances of the cold start, then their centre and spread.
+_DRIFT = f"""WITH RECURSIVE o AS (SELECT label::BIGINT AS key, vec_id AS item, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings),
+f AS (SELECT key, item, n, v AS mean, [0.0::DOUBLE] AS ds, 0.0::DOUBLE AS centre, 0.0::DOUBLE AS spread, 0.0::DOUBLE AS distance, CAST(NULL AS DOUBLE) AS z FROM o WHERE n = 0 UNION ALL
+SELECT key, item, n, CASE WHEN n < {_COLD} THEN list_transform(list_zip(mean, v), lambda p: p[1] + (p[2] - p[1]) / (n + 1)) WHEN abs(zz) < 3 THEN list_transform(list_zip(mean, v), lambda p: p[1] + 0.05 * (p[2] - p[1])) ELSE mean END,
+CASE WHEN n < {_COLD} THEN list_append(ds, d) ELSE ds END, CASE WHEN n = {_COLD} - 1 THEN list_avg(list_append(ds, d)) WHEN n >= {_COLD} AND abs(zz) < 3 THEN centre + 0.05 * (d - centre) ELSE centre END,
+CASE WHEN n = {_COLD} - 1 THEN list_stddev_pop(list_append(ds, d)) WHEN n >= {_COLD} AND abs(zz) < 3 THEN sqrt(0.95 * spread * spread + 0.05 * pow(d - (centre + 0.05 * (d - centre)), 2)) ELSE spread END, d, CASE WHEN n >= {_COLD} THEN zz END
+FROM (SELECT *, CASE WHEN spread > 1e-9 THEN (d - centre) / spread ELSE 0 END AS zz FROM (SELECT o.key, o.item, o.n, o.v, f.mean, f.ds, f.centre, f.spread, sqrt(list_sum(list_transform(list_zip(f.mean, o.v), lambda p: pow(p[2] - p[1], 2)))) AS d FROM f JOIN o ON o.key = f.key AND o.n = f.n + 1)))
+SELECT key, item, round(distance, 5) AS distance, round(z, 4) AS z FROM f"""
+
+
+@query(_DRIFT, "")
 def embedding_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential recurrence per key; tested against a plain restatement."""
+    """A sequential recurrence per key."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("key"), F.col("vec_id").alias("item"), "embedding")
-    return dr.drift(vectors, 20)
+    return dr.drift(vectors, _COLD).withColumns({"distance": F.round("distance", 5), "z": F.round("z", 4)})
 
 
-@query(None)
+_ENTROPY = """, l AS (SELECT subject_id, recording_id, list(rr_ms ORDER BY off_us, event_id) AS x, 0.2 * stddev_pop(rr_ms) AS r FROM m GROUP BY ALL),
+t AS (SELECT subject_id, recording_id, r, x, unnest(range(1, len(x) - 1)) AS i FROM l WHERE len(x) >= 4),
+p AS (SELECT a.subject_id, a.recording_id, abs(a.x[a.i] - a.x[b.i]) <= a.r AND abs(a.x[a.i + 1] - a.x[b.i + 1]) <= a.r AS two, abs(a.x[a.i + 2] - a.x[b.i + 2]) <= a.r AS third FROM t a JOIN t b ON a.subject_id = b.subject_id AND a.recording_id = b.recording_id AND a.i < b.i),
+c AS (SELECT subject_id, recording_id, count(*) FILTER (two) AS b, count(*) FILTER (two AND third) AS a FROM p GROUP BY ALL)
+SELECT subject_id, recording_id, CASE WHEN a > 0 AND b > 0 THEN round(ln(b / a), 6) END AS entropy FROM l LEFT JOIN c USING (subject_id, recording_id)"""
+
+
+@query(_ENTROPY)
 def rr_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quadratic in a window's values, so vectorised per window; tested on known series."""
+    """Quadratic in a window's values, so vectorised per window."""
     ship(spark)
     listed = windows(spark, sf_dir).groupBy("subject_id", "recording_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "rr_ms"))).alias("l"))
-    return listed.select("subject_id", "recording_id", sg.sample_entropy(F.transform("l", lambda v: v["rr_ms"])).alias("entropy"))
+    return listed.select("subject_id", "recording_id", F.round(F.nanvl(sg.sample_entropy(F.transform("l", lambda v: v["rr_ms"])), F.lit(None).cast("double")), 6).alias("entropy"))
