@@ -640,3 +640,16 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     repeated = judged.where("stays")
     kept = numbered.join(repeated, same(repeated), "left_semi").dropDuplicates([id_column, version])
     return numbered.join(judged, same(judged), "left_anti").unionByName(kept).drop(version)
+
+
+#: All pairs that share a shingle, counted; components as the transitive closure of the links.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[k:k + 3], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.g = b.g AND a.r < b.r JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+z AS (SELECT r AS a, r AS b FROM d UNION SELECT z.a, e.b FROM z JOIN e ON e.a = z.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT z.a AS r, min(o.doc_id) AS c FROM z JOIN d o ON o.r = z.b GROUP BY z.a) m USING (r)
+"""

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, count_rtree, disclosure_pii, html_extraction, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam, url_templates
+from . import bloom_lm, companions, count_rtree, disclosure_pii, html_extraction, line_crf, line_runs, mil_toxicity, sentencepiece_bpe, suffix_decontam, url_templates
 from .common import table
 
 #: Folder of the public tokenizer files; a parameter, never copied here.
@@ -71,5 +71,6 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    **companions.QUERIES,
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": suffix_decontam.ORACLE_SQL, "op10_line_dedup": line_runs.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard": count_rtree.ORACLE_SQL, "op6_decontamination": suffix_decontam.ORACLE_SQL, "op10_line_dedup": line_runs.ORACLE_SQL, **companions.ORACLE_SQL}
