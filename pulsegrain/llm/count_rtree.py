@@ -502,7 +502,9 @@ def _trees(sets: DataFrame, nodes: DataFrame, bits: int, id_column: str) -> Data
         out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node)], ["key", "node"])
         return out.filter(pa.array(wanted.value.has(_places(out, ["key"], 4 * BITMAP))))
 
-    return written(map_batches(rows, ["node", "doc", "keys"], "key long, node long", unpack).join(shared, "key"), "rtree-trees")
+    trees = written(map_batches(rows, ["node", "doc", "keys"], "key long, node long", unpack).join(shared, "key"), "rtree-trees")
+    discard(shared)
+    return trees
 
 
 def components(links: DataFrame, label: str) -> DataFrame:
@@ -526,15 +528,16 @@ def components(links: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _stars(trees: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, tried pairs, labels) of a few rounds in which each tree tries one pivot on one node of every other component.
+def _stars(trees: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, id_column: str, made: list[DataFrame]) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(tables of links, tried pairs, labels) of a few rounds in which each tree tries one pivot on one node of every other component.
 
     A round costs at most one pair per row.  The first pivot is the node with the most large trees, later
     ones are of the tree's largest component; nodes are drawn anew each round.
     """
     spark = nodes.sparkSession
     pair, label = "a long, b long", "node long, comp long"
-    links, tried, labels = (spark.createDataFrame([], x) for x in (pair, pair, label))
+    tried, labels = (spark.createDataFrame([], x) for x in (pair, label))
+    links: list[DataFrame] = []
     degree = trees.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
     for turn in range(ROUNDS):
         named = trees.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -546,18 +549,27 @@ def _stars(trees: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, id
         pivots = written(spots.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("weight", F.xxhash64("node"))).alias("p"), F.count(F.lit(1)).alias("spots")).where("spots > 1").select("key", "p"), "rtree-pivots")
         asked = spots.join(pivots, "key").where(F.col("comp") != F.col("p.comp")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         asked = written(asked.join(tried, ["a", "b"], "left_anti"), "rtree-asked")
-        found = _verified(asked, nodes, sets, percent, f"rtree-star{turn}", id_column)
-        links, tried = links.unionByName(found), tried.unionByName(asked)
-        n = found.count()
+        links.append(_verified(asked, nodes, sets, percent, f"rtree-star{turn}", id_column))
+        tried = tried.unionByName(asked)
+        discard(spots)
+        made += [pivots, asked]
+        n = links[-1].count()
         if n:
-            labels = components(links, f"rtree-star{turn}")
+            labels = components(_union(links), f"rtree-star{turn}")
+            made.append(labels)
         if n < 50 and turn:
             break
-        discard(spots)
         trees = trees.join(pivots.select("key"), "key", "left_semi")
     return links, tried, labels
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for part in tables[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _banded(rows: DataFrame, percent: int) -> DataFrame:
     """The rows of trees that are too large for one task: by bands of size, and those in blocks.
 
@@ -586,7 +598,8 @@ def _join(docs: DataFrame, words: int, percent: int, sample_docs: int, frequent_
     nodes = written(sets.where("size > 0").groupBy("node").agg(F.min(id_column).alias("rep"), F.first("size").alias("size"), F.first("fine").alias("fine"), F.first("fine_scale").alias("fine_scale")), "rtree-nodes")
     trees = _trees(sets, nodes, _part_bits(size, 9), id_column)
     release(docs.sparkSession)
-    star_links, tried, labels = _stars(trees.where(F.col("n") > STAR).select("key", "node"), nodes, sets, percent, id_column)
+    made: list[DataFrame] = []
+    parts, tried, labels = _stars(trees.where(F.col("n") > STAR).select("key", "node"), nodes, sets, percent, id_column, made)
     known = written(nodes.select("node", "size", "fine", "fine_scale").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rtree-labelled")
     # a tree with one component, or of two nodes whose sizes are too far apart, needs no join; told by a small aggregate
     bounds = trees.join(known.select("node", "comp", "size"), "node").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most"), F.first("n").alias("n"))
@@ -605,27 +618,31 @@ def _join(docs: DataFrame, words: int, percent: int, sample_docs: int, frequent_
     met = written(met.join(tried, ["a", "b"], "left_anti"), "rtree-met")
     discard(trees, open_, known)
     release(docs.sparkSession)
-    links = star_links.unionByName(_verified(met, nodes, sets, percent, "rtree-join", id_column))
+    parts.append(_verified(met, nodes, sets, percent, "rtree-join", id_column))
+    links = _union(parts)
+    links.parts = parts
     found = components(links, "rtree-all")
     tagged = nodes.select("node", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = tagged.groupBy("comp").agg(F.min("rep").alias("component_id"))
     classes = written(tagged.join(least, "comp").select("node", "comp", "component_id"), "rtree-classes")
     members = written(sets.select(id_column, "version", "size", "node"), "rtree-members")
-    discard(sets, nodes, met, found)
+    discard(sets, nodes, met, found, *made)
     release(docs.sparkSession)
     return members, classes, links
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", **options: int) -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
-    members, classes, _ = join(docs, id_column=id_column, **options)
+    members, classes, links = join(docs, id_column=id_column, **options)
+    discard(*links.parts)
     alone = members.where("size = 0").select(id_column, F.lit(0).cast("long").alias("n_shingles"), F.col(id_column).alias("component_id"))
     return members.where("size > 0").join(classes, "node").select(id_column, F.col("size").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: int) -> DataFrame:
     """The rows, of each group of linked ones only the one with the smallest id; a tie is broken by the text's hash."""
-    members, classes, _ = join(docs, id_column=id_column, text_column=text_column, **options)
+    members, classes, links = join(docs, id_column=id_column, text_column=text_column, **options)
+    discard(*links.parts)
     own, version = unused(docs, "_id"), unused(docs, "_version")
     rows = members.where("size > 0").join(classes, "node").select("comp", F.col(id_column).alias("id"), "version")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "version"))

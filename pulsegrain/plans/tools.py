@@ -19,6 +19,7 @@ from pulsegrain.functions import morphology as mo
 from pulsegrain.functions import signal as sg
 from pulsegrain.functions import text as tx
 from pulsegrain.functions import vitals as vt
+from pulsegrain.functions.records import LABEL_FIELDS
 from pulsegrain.operators import catalogues as ct
 from pulsegrain.operators import rules as rl
 from pulsegrain.operators import sequence as seq
@@ -42,6 +43,13 @@ TRENDS = {
     "stress_transition_count": ["stress_label"],
     "activity_distribution": ["activity_label"],
 }
+#: Which calls look at the signals of a data set, the window analysis first.
+ANALYSES = {
+    "icentia11k": ("analyze_icentia11k_ecg_window_signal", "evaluate_proactive_rules"),
+    "ppg_dalia": ("analyze_ppg_dalia_window_signal",),
+    "wesad": ("analyze_wesad_window_signal", "classify_wesad_stress_state"),
+    "afppgecg": ("analyze_afppgecg_rhythm_context", "analyze_pulse_rate", "analyze_prv", "assess_ppg_signal_quality", "analyze_ppg_rhythm_irregularity"),
+}
 _REGISTRY: dict[str, Callable] = {}
 
 
@@ -84,6 +92,31 @@ class Session:
         except Exception as e:  # noqa: BLE001  the envelope is the contract
             return {"success": False, "error": f"{type(e).__name__}: {e}"}
 
+    def clear(self) -> None:
+        """Forgets all states."""
+        self.states = self.states.limit(0)
+
+    def keep_only(self, state_ids: DataFrame) -> None:
+        """Keeps the states that a table of state_id names."""
+        self.states = self.states.join(state_ids.select("state_id").distinct(), "state_id", "left_semi")
+
+    def hide_label_fields(self) -> None:
+        """Empties what comes from labels in all loaded states."""
+        self.states = self.states.withColumns({c: F.lit(None).cast(self.states.schema[c].dataType) for c in LABEL_FIELDS if c in self.states.columns})
+
+    def restrict(self, dataset: str, modes: tuple[str, ...] = ("state", "signal")) -> list[str]:
+        """Leaves the calls that a data set's questions may use: the store's, and the analyses of its own signals."""
+        allowed = {n for n in _REGISTRY if n.startswith("state_get_") or n == "state_list_contexts"} if "state" in modes else set()
+        allowed |= set(ANALYSES.get(dataset, ())) if "signal" in modes else set()
+        self.disabled = set(_REGISTRY) - allowed
+        return sorted(allowed)
+
+    def analyse(self, dataset: str, **arguments) -> dict:
+        """The window analysis of a data set's signals."""
+        if dataset not in ANALYSES:
+            return {"success": False, "error": f"no window analysis for {dataset}"}
+        return self.call(ANALYSES[dataset][0], **arguments)
+
     def matching(self, dataset=None, subject_id=None, patient_id=None, recording_id=None, qualified: bool = True) -> DataFrame:
         """States of the named context; an unqualified call must fit one context."""
         found = self.states

@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrain.operators import learn
+from pulsegrain.operators import learn, replay
 from pulsegrain.operators import wearables as we
 from pulsegrain.plans import tools, tools_signal
 from pulsegrain.sources import wfdb
+from pulsegrain.streaming import live
 
 CHANNELS = "subject string, channel string, samples array<double>, width int"
 
@@ -47,6 +48,47 @@ def test_almost_every_tool_is_there():
     assert len(tools.names()) >= 39
 
 
+def test_sessions_are_restricted_and_emptied(session, spark, tmp_path):
+    s = tools.Session(spark)
+    s.wearables = session.wearables
+    path = str(tmp_path / "s3.parquet")
+    session.wearables.where("subject = 'S3'").write.parquet(path)
+    assert s.call("state_build_from_wesad_pickle", pickle_path=path)["data"]["states"] == 4
+    assert s.analyse("wesad", subject_id="S3", window_start_s=0, window_end_s=30)["success"] and not s.analyse("other")["success"]
+    assert "classify_wesad_stress_state" in s.restrict("wesad") and not s.call("list_ecg_records")["success"]
+    assert s.restrict("wesad", ("state",)) and not s.call("analyze_wesad_window_signal", subject_id="S3", window_start_s=0, window_end_s=30)["success"]
+    s.hide_label_fields()
+    assert s.states.where("stress_label IS NOT NULL").count() == 0
+    s.keep_only(s.states.orderBy("window_index").limit(1).select("state_id"))
+    assert s.states.count() == 1
+    s.clear()
+    assert s.states.count() == 0
+
+
+def test_configurations_that_cannot_be():
+    replay.check_config(30, 15, 0.8)
+    for wrong in ((0, 15, 0.8), (30, -1, 0.8), (30, 15, 0.0), (30, 15, 1.1)):
+        with pytest.raises(ValueError, match="must be"):
+            replay.check_config(*wrong)
+
+
+def test_a_live_session_hands_each_row_on_once(spark, tmp_path):
+    for k in range(5):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen: list[int] = []
+    live_session = live.LiveSession(spark, "id long", str(tmp_path / "in"), lambda batch, n: seen.extend(r[0] for r in batch.collect()), str(tmp_path / "state"), seconds=0.2)
+    live_session.start()
+    live_session.wait_for(1)
+    live_session.pause()
+    paused = len(seen)
+    assert paused >= 10 and not live_session.snapshot()["running"]
+    live_session.set_speed(4.0)
+    live_session.fast_forward()
+    assert sorted(seen) == list(range(50)) and live_session.snapshot()["generation"] == 2
+    with pytest.raises(ValueError, match="positive"):
+        live_session.set_speed(0)
+
+
 def test_wearable_windows(session):
     got = session.call("analyze_wesad_window_signal", subject_id="S1", window_start_s=130, window_end_s=190)["data"]
     assert abs(got["bvp_pulse"]["mean_bpm"] - 120) < 3 and got["protocol_label"] == {"label_id": 2, "label": "stress", "fraction": 1.0, "clean": True}
