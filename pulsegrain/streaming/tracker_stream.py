@@ -8,7 +8,6 @@ was processed is dropped and counted, which is how this engine defines late data
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pulsegrain.runtime import ship
 
 OUTPUT = "subject_id long, event_id long, off_us long, samples long, ratio double, timer double, baseline double, rules string, urgency string, alert boolean, late long"
-STATE = "memory string"
+STATE = "ring array<double>, timer double, baseline double, last_us long, last_id long, signature string, late long"
 RING, ALPHA, BAND = 30, 0.05, 0.2
 
 
@@ -37,13 +36,12 @@ def _fired(hr: float | None, window_s: float, samples: int, ratio: float | None)
 class Memory:
     """One subject's tracker."""
 
-    def __init__(self, held: dict | None = None):
-        held = held or {}
-        self.ring, self.timer, self.baseline = held.get("ring", []), held.get("timer"), held.get("baseline")
-        self.last, self.signature, self.late = held.get("last", [-(1 << 62), 0]), held.get("signature"), held.get("late", 0)
+    def __init__(self, held: tuple | None = None):
+        ring, self.timer, self.baseline, us, event, self.signature, self.late = held or ([], None, None, -(1 << 62), 0, None, 0)
+        self.ring, self.last = list(ring), [us, event]
 
-    def dump(self) -> dict:
-        return self.__dict__
+    def dump(self) -> tuple:
+        return self.ring, self.timer, self.baseline, *self.last, self.signature, self.late
 
     def step(self, event_id: int, off_us: int, hr: float | None, rhythm: str | None, window_s: float) -> tuple | None:
         if [off_us, event_id] <= self.last:
@@ -72,7 +70,7 @@ class Memory:
 
 def _update(window_s: float):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = Memory(json.loads(state.get[0]) if state.exists else None)
+        memory = Memory(tuple(state.get) if state.exists else None)
         rows = pd.concat(list(batches)).sort_values(["off_us", "event_id"])
         out = []
         for r in rows.itertuples(index=False):
@@ -80,7 +78,7 @@ def _update(window_s: float):
             got = memory.step(int(r.event_id), int(r.off_us), hr, None if pd.isna(r.rhythm_class) else r.rhythm_class, window_s)
             if got:
                 out.append((int(key[0]), *got))
-        state.update((json.dumps(memory.dump()),))
+        state.update(memory.dump())
         yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in OUTPUT.split(",")])
 
     return update
