@@ -220,3 +220,24 @@ def trend_features(values: Column, duration: Column) -> list[Column]:
     slope = F.when((F.size(clean) >= 2) & (duration > 0), (F.get(clean, F.size(clean) - 1) - F.get(clean, F.lit(0))) / duration)
     found = [vt.mean(clean), vt.std(clean), F.array_min(clean), F.array_max(clean), F.array_max(clean) - F.array_min(clean), slope, vt.mean(F.transform(vt.differences(clean), F.abs))]
     return [F.coalesce(c, F.lit(0.0)) for c in found]
+
+
+def skips_activity(label: Column, fraction: Column, least: float = 0.8, transitions: tuple[str, ...] = ("transition", "unknown", "no_activity")) -> Column:
+    """Whether an activity window is left out: in transition, or too mixed; one without a label stays."""
+    return F.when(label.isNull(), False).otherwise(label.isin(*transitions) | (F.coalesce(fraction, F.lit(0.0)) < least))
+
+
+def lead_of(signals: Column, wanted: Column) -> Column:
+    """The signal of the lead asked for; a recording of one lead gives that; otherwise none."""
+    return F.coalesce(signals[wanted], F.when(F.size(F.map_keys(signals)) == 1, F.get(F.map_values(signals), F.lit(0))))
+
+
+def window_row(index: Column, start_s: Column, width_s: float, rates: dict[str, float], before: Column, end_before: Column) -> Column:
+    """A window's wide metadata: sample bounds of each channel, the gap to the window before, and its id."""
+    bounds = [c for name, rate in rates.items() for c in (F.bround(start_s * rate).cast("long").alias(f"{name}_start"), F.bround((start_s + width_s) * rate).cast("long").alias(f"{name}_end"))]
+    return F.struct(index.alias("window_index"), start_s.alias("start_s"), (start_s + width_s).alias("end_s"), *bounds, (start_s - end_before).alias("gap_s"), before.alias("previous_id"))
+
+
+def chosen_path(canonical: str, legacy: str, exists: dict[str, bool]) -> str:
+    """The canonical place, unless only the legacy one is there."""
+    return legacy if exists.get(legacy) and not exists.get(canonical) else canonical

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrain.functions import records as rc
 from pulsegrain.functions import vitals as vt
 from pulsegrain.operators import catalogues as ct
 from pulsegrain.operators import learn as ln
+from pulsegrain.operators import monitoring as mt
+from pulsegrain.operators import state as st
 
 from .testdata_model import ORDER, SQL, table, windows
 
@@ -288,3 +290,39 @@ def uploaded_record_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An unknown age fails an upper bound too."""
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 97 END AS age", "CAST(NULL AS STRING) AS sex")
     return ct.search(rows, "age", "sex", None, 40, None).select("c_custkey")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN FALSE WHEN 'click' THEN TRUE ELSE value < 80 END AS skipped FROM events", "")
+def activity_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    label = F.when(kind == "click", "transition").when(kind != "view", "walking")
+    return _events(spark, sf_dir).select("event_id", rc.skips_activity(label, F.col("value") / 100).alias("skipped"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2.0 WHEN 1 THEN value END AS first_sample FROM events", "")
+def lead_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lead asked for, the only one, or none."""
+    k = F.col("event_id") % 3
+    two = F.create_map(F.lit("I"), F.array(F.lit(1.0)), F.lit("II"), F.array(F.lit(2.0)))
+    signals = F.when(k == 1, F.create_map(F.lit("I"), F.array("value"))).otherwise(two)
+    found = rc.lead_of(signals, F.when(k == 2, "V9").otherwise("II"))
+    return _events(spark, sf_dir).select("event_id", F.get(found, F.lit(0)).alias("first_sample"))
+
+
+@query("""SELECT event_id, window_index, round_even(value * 64, 0)::BIGINT AS bvp_start, round_even((value + 30) * 64, 0)::BIGINT AS bvp_end, round(value - lag(value + 30) OVER w, 6) AS gap_s, lag(event_id) OVER w AS previous_id FROM m WINDOW w AS (PARTITION BY subject_id ORDER BY off_us, event_id)""")
+def wide_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of windows with the sample bounds of a channel."""
+    w = Window.partitionBy("subject_id").orderBy(*ORDER)
+    row = rc.window_row(F.col("window_index"), F.col("value"), 30.0, {"bvp": 64.0}, F.col("prior"), F.col("ended"))
+    rows = windows(spark, sf_dir).withColumns({"prior": F.lag("event_id").over(w), "ended": F.lag(F.col("value") + 30).over(w)}).select("event_id", row.alias("r"))
+    return rows.select("event_id", "r.window_index", "r.bvp_start", "r.bvp_end", F.round("r.gap_s", 6).alias("gap_s"), "r.previous_id")
+
+
+@query("""SELECT subject_id, 'ecg' AS segment_id, greatest(b, 100000000000) AS span_start, least(e, 900000000000) AS span_end, label FROM (SELECT subject_id, off_us AS b, lead(off_us) OVER w AS e, rhythm_class AS label FROM m WINDOW w AS (PARTITION BY subject_id ORDER BY off_us, event_id))
+WHERE label IS NOT NULL AND b < 900000000000 AND e > 100000000000""")
+def reference_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference recording as one segment: its rhythm spans clipped to a sample range."""
+    low, high = 100_000_000_000, 900_000_000_000
+    spans = mt.beat_intervals(windows(spark, sf_dir), ["subject_id"], ORDER, "off_us", "rr_ms", "rhythm_class").where("label IS NOT NULL")
+    inside = st.overlapping(spans, low, high, "start", "end")
+    return inside.select("subject_id", F.lit("ecg").alias("segment_id"), F.greatest("start", F.lit(low)).cast("bigint").alias("span_start"), F.least("end", F.lit(high)).cast("bigint").alias("span_end"), "label")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrain import schema
 from pulsegrain.functions import signal as sg
+from pulsegrain.functions import records as rc
 from pulsegrain.functions import text as tx
 from pulsegrain.functions import vitals as vt
 from pulsegrain.operators import annotations as an
@@ -193,6 +194,10 @@ def test_scoring_texts(spark):
     assert [tx.relative_tolerance(x) for x in (None, " ", "0.1", "-3", "x")] == [0.05, 0.05, 0.1, 0.0, 0.05]
 
 
+def test_chosen_paths():
+    assert rc.chosen_path("new", "old", {"old": True}) == "old" and rc.chosen_path("new", "old", {"old": True, "new": True}) == "new" == rc.chosen_path("new", "old", {})
+
+
 def test_text_helpers(spark):
     w = tx.parse_window_id(F.lit("ppg:007:chunk002:w000003:s000000100-e000000200"))
     assert one(spark, w)["end"] == 200
