@@ -34,9 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrain.runtime import ship
-
-from .common import crc32_text, discard, map_batches, release, text_bytes, written
+from .common import crc32_text, discard, map_batches, prepare, release, text_bytes, written
 from .textkit import LOWER, SPACE, blocks, mix, span_hashes, spans, stream
 
 END = stream(9, 1)[0]  #: the hash that stands for the end token
@@ -291,7 +289,7 @@ def held_out(id_column: str = "doc_id") -> F.Column:
 def score(docs: DataFrame, max_bytes: int = 1 << 28, head_words: int = 1 << 19, strength: float = 20.0, entry_bits: int = 8, buckets: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Trains on the rows that are not held out and scores every row: the contract's columns."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     if buckets is None:
         buckets = 1 << max(7, math.ceil(math.log2(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs, text_column)[1] / BUCKET_BYTES))))
     counted = count_ngrams(docs.where(~held_out(id_column)), buckets, text_column)

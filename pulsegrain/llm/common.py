@@ -6,7 +6,6 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +34,15 @@ def text_bytes(docs: DataFrame, text_column: str = "text") -> tuple[int, int]:
     return found[0], found[1] or 0
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """The rows written once to the shared folder and read again: cuts lineage and survives lost executors.
+
+    Not with the default codec, whose buffers outside the heap stay until they are garbage: large binary
+    values make them large.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -62,18 +65,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> Iterator[None]:
-    """Steps that run inside hand texts to the Python workers in smaller batches, for less memory on both sides."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {k: spark.conf.get(k) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+#: Rows and bytes of text that are handed to a Python worker at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the source to the workers and lowers the session's Arrow batches, for less memory in executors and workers."""
+    ship(spark)
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
 
 
 def map_batches(df: DataFrame, columns: list[str], schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -89,7 +89,7 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, function: Callab
             del batch, out
             trim()
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

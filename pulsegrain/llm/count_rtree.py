@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, release, small_batches, text_bytes, trim, unused, written
+from .common import discard, map_batches, prepare, release, text_bytes, trim, unused, written
 from .textkit import LOWER, SPACE, blocks, gram_hashes, mix, span_hashes, spans
 
 GROUPS, FINEST = 64, 1024
 STAR, BLOCK, FANOUT, ROUNDS = 64, 4096, 8, 5
 BITMAP = 1 << 23
-LISTED = 64  #: keys of large trees that a row carries, to tell a pair once
+LISTED = 32  #: keys of large trees that a row carries, to tell a pair once
 PART_BYTES = 1 << 24  #: text whose shingles are counted together
 
 
@@ -587,11 +587,7 @@ def _banded(rows: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, sample_docs: int = 20_000, frequent_shingles: int = 1 << 16, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links): members (id, version of the text, size, node), classes (node, comp, component_id), spanning links (a, b) between nodes."""
-    with small_batches(docs.sparkSession):
-        return _join(docs, words, percent, sample_docs, frequent_shingles, id_column, text_column)
-
-
-def _join(docs: DataFrame, words: int, percent: int, sample_docs: int, frequent_shingles: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    prepare(docs.sparkSession)
     total, size = text_bytes(docs, text_column)
     frequent = _frequent(docs, words, sample_docs, frequent_shingles, total, size, id_column, text_column)
     sets = written(_nodes(docs, words, percent, frequent, id_column, text_column), "rtree-sets")

@@ -24,9 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pulsegrain.runtime import ship
-
-from .common import labelled_sample, map_batches
+from .common import labelled_sample, map_batches, prepare, trim
 from .textkit import SPACE, _class, blocks, gram_hashes, mix, row_of, span_hashes, spans
 
 NEWLINE = _class((10, 10))
@@ -295,6 +293,8 @@ def keep(docs: DataFrame, chain: Chain, min_words: int = 50, max_repeat_percent:
                 failed = (found["n_words"] < min_words) | (100 * found["n_repeat_words"] > max_repeat_percent * found["n_words"])
                 good.append(~failed & (share >= min_share))
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+            del batch
+            trim()
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -60,7 +60,7 @@ class LineRuns:
 
     def _write(self, keys: DataFrame, name: str) -> str:
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        keys.write.parquet(path)
+        keys.write.option("compression", "zstd").parquet(path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     for bound in bounds:
         number = number + (F.col("doc") >= F.lit(bound)).cast("int")
     keys = line_keys(docs, min_chars, id_column, text_column).withColumn("batch", number)
-    keys.write.partitionBy("batch").parquet(path)
+    keys.write.option("compression", "zstd").partitionBy("batch").parquet(path)
     lines = spark.read.schema(keys.schema).parquet(path)
     runs = LineRuns(spark, fanout=fanout)
     for k in range(len(bounds), -1, -1):

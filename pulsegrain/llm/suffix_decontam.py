@@ -10,7 +10,7 @@ match are hit, and affected documents are removed.
 A window is `window` consecutive words of an item; an item with fewer words, but some, is one
 window.  Words are runs of letters and digits after A-Z are lower-cased; bytes from 0x80 on belong
 to words.  The benchmark is read in blocks of `block_chars`, so that what travels to the workers has a
-proven bound; with k blocks the documents are searched k times, row by row, and written in between.
+proven bound; with k blocks the documents are searched k times.
 
 Defined results: null and empty texts have no words, no matches and are clean; a document's words never
 join with the next document's; repeated rows give repeated results, and every row is judged by its own
@@ -21,7 +21,7 @@ remove_contaminated().
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrain.runtime import ship
-
-from .common import discard, map_batches, trim, written
+from .common import discard, map_batches, unused, written
 from .textkit import LOWER, NON_WORD, blocks, mix, row_of, span_hashes, spans
 
 BLOCK_CHARS = 8 << 20  #: most benchmark text that is sent to the workers at once
-PAIRS = 1 << 20  #: places of test suffixes that are looked at together
+PAIRS = 1 << 18  #: places of test suffixes that are looked at together
 MATCHES = "array<struct<at:long,length:long,item:string,item_at:long>>"
 
 
@@ -58,8 +56,10 @@ class TestSuffixes:
         need = np.minimum(length, window)[item]
         self.start = np.flatnonzero(self.left >= need)  # later suffixes are shorter than any window
         self.item, self.need, self.first = item[self.start], need[self.start], first[self.start]
-        two = self.start[self.need >= 2]
-        self.pairs = np.unique(mix(self.words[two]) + self.words[two + 1])
+        two = self.need >= 2
+        self.head = np.zeros(len(self.start), np.uint64)  # first two words; 0 where one is all
+        self.head[two] = mix(self.words[self.start[two]]) + self.words[self.start[two] + 1]
+        self.pairs = np.unique(self.head[two])
         self.single = np.unique(self.words[self.start[self.need == 1]])
 
 
@@ -90,7 +90,11 @@ class Shard:
         """Per test suffix found: its number and the range of the suffix array that shares the words it needs."""
         tests = self.tests
         low, high = np.zeros(len(tests.start), np.int64), np.full(len(tests.start), len(self.suffix))
-        live = np.arange(len(tests.start)) if len(self.suffix) else np.zeros(0, np.int64)
+        live = np.zeros(0, np.int64)
+        if len(self.suffix):  # a test suffix whose first two words no suffix begins with is not searched further
+            first = np.unique(mix(self.padded[self.suffix]) + self.padded[self.suffix + 1])
+            live = np.flatnonzero((tests.need == 1) | _among(tests.head, first))
+        high[np.setdiff1d(np.arange(len(high)), live, assume_unique=True)] = 0
         for depth in range(tests.window):
             live = live[(tests.need[live] > depth) & (high[live] > low[live])]
             if not len(live):
@@ -173,26 +177,19 @@ def _benchmark_blocks(benchmark: DataFrame, item_column: str, text_column: str,
     yield rows
 
 
-def _block_by_block(docs: DataFrame, benchmark: DataFrame, window: int, item_column: str, item_text_column: str, block_chars: int, search: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
-    """search() of one block after the other, its rows written in between, so that a worker holds one block at a time."""
-    scratch = found = None
-    for items in _benchmark_blocks(benchmark, item_column, item_text_column, block_chars):
-        if found is not None:
-            docs = written(found, "decontam-rows")
-            if scratch is not None:
-                discard(scratch)
-            scratch = docs
-        found = search(docs, docs.sparkSession.sparkContext.broadcast(TestSuffixes(items, window)))
-    return found
-
-
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document row: id, n_words and the longest matches (at, length, item, item_at; all in words)."""
+    """One row per document row: id, n_words and the longest matches (at, length, item, item_at; all in words).
+
+    One block is searched after the other, the rows with their texts written in between, so that a worker
+    holds one block at a time.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
-    names = ["id", "text", "n_words", "matches"]
-    start = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCHES).alias("matches"))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCHES).alias("matches"))
+
+    def search(rows: DataFrame, items: list[tuple[str | None, str]], last: bool) -> DataFrame:
+        held = rows.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
+        names = ["id", *([] if last else ["text"]), "n_words", "matches"]
 
-    def search(rows: DataFrame, held: Broadcast) -> DataFrame:
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             tests = held.value
             item_names = pa.array(tests.names, pa.string())
@@ -208,12 +205,20 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col
                     fields=list(part.schema.field("matches").type.value_type),
                 )
                 fresh = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)), found, type=part.schema.field("matches").type)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(shard.firsts)), _joined(part.column(3), fresh)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *([] if last else [part.column(1)]), pa.array(np.diff(shard.firsts)), _joined(part.column(3), fresh)], names)
 
-        return map_batches(rows, names, f"id {kind}, text string, n_words long, matches {MATCHES}", run)
+        text = "" if last else "text string, "
+        return map_batches(rows, ["id", "text", "n_words", "matches"], f"id {kind}, {text}n_words long, matches {MATCHES}", run)
 
-    every = _block_by_block(start, benchmark, window, item_column, item_text_column, block_chars, search)
-    return every.select(F.col("id").alias(id_column), "n_words", "matches")
+    scratch = None
+    blocks_ahead = _benchmark_blocks(benchmark, item_column, item_text_column, block_chars)
+    items = next(blocks_ahead)
+    while (following := next(blocks_ahead, None)) is not None:
+        before, scratch = scratch, written(search(rows, items, False), "decontam-rows")
+        if before is not None:
+            discard(before)
+        rows, items = scratch, following
+    return search(rows, items, True).select(F.col("id").alias(id_column), "n_words", "matches")
 
 
 def _joined(old: pa.ListArray, fresh: pa.ListArray) -> pa.ListArray:
@@ -243,26 +248,30 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows in which no benchmark window occurs, with all their columns."""
-
-    def search(rows: DataFrame, held: Broadcast) -> DataFrame:
-        place = rows.columns.index(text_column)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for lo, _, data, offsets in blocks(batch.column(place)):
-                    shard = Shard(held.value, data, offsets)
-                    _, at, _ = shard.matches()
-                    if len(at):
-                        clean[lo + np.unique(row_of(shard.firsts)[at])] = False
-                yield batch.filter(pa.array(clean))
-                trim()
-
-        ship(rows.sparkSession)
-        return rows.mapInArrow(run, rows.schema)
-
-    return _block_by_block(docs, benchmark, window, item_column, item_text_column, block_chars, search)
+    """The rows in which no benchmark window occurs, with all their columns.
+
+    A row's text alone decides, so that the workers give back the hashes of affected texts only, and the
+    rows themselves never leave the engine.
+    """
+    one, two = unused(docs, "_h1"), unused(docs, "_h2")
+    clean = docs.withColumns({one: F.xxhash64(text_column), two: F.xxhash64(F.lit(7), text_column)})
+    texts = clean.select(F.col(text_column).alias("text"), F.col(one).alias("h1"), F.col(two).alias("h2"))
+    for items in _benchmark_blocks(benchmark, item_column, item_text_column, block_chars):
+        held = docs.sparkSession.sparkContext.broadcast(TestSuffixes(items, window))
+
+        def run(batch: pa.RecordBatch, held: Broadcast = held) -> pa.RecordBatch:
+            bad = np.zeros(batch.num_rows, bool)
+            for lo, _, data, offsets in blocks(batch.column(0)):
+                shard = Shard(held.value, data, offsets)
+                _, at, _ = shard.matches()
+                if len(at):
+                    bad[lo + np.unique(row_of(shard.firsts)[at])] = True
+            return batch.select(["h1", "h2"]).filter(pa.array(bad))
+
+        # written, so that the planner knows how few there are
+        found = written(map_batches(texts, ["text", "h1", "h2"], "h1 long, h2 long", run).distinct(), "decontam-found")
+        clean = clean.join(found.toDF(one, two), [one, two], "left_anti")
+    return clean.select(*docs.columns)
 
 
 #: Occurrences of windows by hashes of ten (or fewer) joined words; bytes from 0x80 on belong to words.
