@@ -23,18 +23,19 @@ def match_transitions(truth: DataFrame, predicted: DataFrame, keys: list[str], a
 def match_alerts(episodes: DataFrame, alerts: DataFrame, keys: list[str], episode: str, bounds: tuple[str, str], at: str, alert_id: str, tolerance: int = 0) -> DataFrame:
     """Adds episode and outcome to each alert: hit (first of its episode), duplicate, or false (outside of all).
 
-    With a tolerance an alert may precede its episode; where episodes overlap so, the earliest one takes it.
+    With a tolerance an alert may precede its episode; where episodes overlap so, the earliest one takes it,
+    however many begin within the tolerance.
     """
     start, end = bounds
-    e = episodes.select(*keys, F.struct((F.col(start) - F.lit(tolerance)).alias("lo"), F.col(end).alias("hi"), F.col(episode).alias("id")).alias("_e"))
-    known = e.select(*keys, F.col("_e.lo").alias("_t"), F.lit(0).alias("_kind"), "_e", F.lit(None).cast(alerts.schema[alert_id].dataType).alias(alert_id))
+    e = episodes.select(*keys, F.struct((F.col(start) - F.lit(tolerance)).alias("lo"), F.col(end).alias("hi"), F.col(episode).alias("id")).alias("_e")).where("_e.hi IS NOT NULL")
+    # of the episodes that end after an alert the earliest begins first; one that ends no later than an earlier one is never it
+    sofar = Window.partitionBy(*keys).orderBy("_e.lo", "_e.id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_top", F.max("_e.hi").over(sofar)).where("_top IS NULL OR _e.hi > _top").drop("_top")
+    known = e.select(*keys, F.col("_e.hi").alias("_t"), F.lit(0).alias("_kind"), "_e", F.lit(None).cast(alerts.schema[alert_id].dataType).alias(alert_id))
     asked = alerts.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"), alert_id)
-    w = Window.partitionBy(*keys).orderBy("_t", "_kind", "_e.id")
-    marked = known.unionByName(asked).withColumn("_now", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # with a tolerance the episode before the latest may still hold the alert
-    before = marked.withColumn("_before", F.when(F.col("_kind") == 0, F.lag("_now").over(w))).withColumn("_before", F.last("_before", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = lambda c: F.when((F.col("_t") >= F.col(f"{c}.lo")) & (F.col("_t") < F.col(f"{c}.hi")), F.col(f"{c}.id"))
-    placed = before.where("_kind = 1").select(*keys, alert_id, F.col("_t").alias(at), F.coalesce(inside("_before"), inside("_now")).alias(episode))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = known.unionByName(asked).withColumn("_next", F.last("_e", ignorenulls=True).over(w))
+    placed = marked.where("_kind = 1").select(*keys, alert_id, F.col("_t").alias(at), F.when(F.col("_t") >= F.col("_next.lo"), F.col("_next.id")).alias(episode))
     v = Window.partitionBy(*keys, episode).orderBy(at, alert_id)
     return placed.withColumn("outcome", F.when(F.col(episode).isNull(), "false").when(F.row_number().over(v) == 1, "hit").otherwise("duplicate"))
 

@@ -174,6 +174,14 @@ def test_matching(spark):
     assert out(3)[4] == "hit"
 
 
+def test_alerts_before_many_short_episodes(spark):
+    """The earliest episode takes the alert, though others begin within the tolerance or lie inside it."""
+    ep = spark.createDataFrame([("a", 0, 10, 20), ("a", 1, 21, 22), ("a", 2, 23, 24), ("a", 3, 25, 26), ("a", 4, 60, None), ("b", 0, 0, 100), ("b", 1, 10, 20), ("b", 2, 20, 20)], "k string, e int, s int, z int")
+    al = spark.createDataFrame([("a", 1, 19), ("a", 2, 20), ("a", 3, 22), ("a", 4, 26), ("a", 5, 61), ("a", 6, 1), ("b", 7, 50), ("b", 8, 5), ("b", 9, 100)], "k string, id int, at int")
+    for tol, want in ((8, {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: None, 7: 0, 8: 0, 9: None}), (0, {1: 0, 2: None, 3: None, 4: None, 5: None, 6: None, 7: 0, 8: 0, 9: None})):
+        assert {r["id"]: r["e"] for r in ev.match_alerts(ep, al, ["k"], "e", ("s", "z"), "at", "id", tol).collect()} == want
+
+
 def test_scoring_texts(spark):
     cases = [
         ("boolean_match", "Yes: the segment tests positive", "yes", None, True),
