@@ -108,6 +108,16 @@ def test_ema_skips_far_values(spark):
     assert seq.ema_skip(df, ["k"], ["i"], "hr").first()["baseline"] == 70.2
 
 
+def test_ema_rounds_the_double(spark):
+    """104.1 then 95.1 steps to 103.64999999999999, which rounds as scaling by ten does; so for a grid of starts and steps."""
+    cases = [(f"{a}-{b}", i, v / 100) for a in range(10000, 10500, 10) for b in range(a - 1500, a + 1501, 100) for i, v in enumerate((a, b))]
+    got = {r["k"]: r["baseline"] for r in seq.ema_skip(spark.createDataFrame(cases, "k string, i int, hr double"), ["k"], ["i"], "hr").collect()}
+    far = lambda x: math.floor(x) + (x - math.floor(x) >= 0.5)
+    for (k, _, first), (_, _, second) in zip(cases[::2], cases[1::2], strict=True):
+        start = far(first * 10) / 10
+        assert got[k] == far((start + 0.05 * (second - start)) * 10) / 10
+
+
 def test_monitoring_aggregate(spark):
     rows = [("a", 0, "AF", 10, 70.0), ("a", 1, "AF", 10, 80.0), ("a", 2, "AF", 10, 90.0), ("a", 3, "N", 10, 60.0)]
     got = tr.summarise(spark.createDataFrame(rows, "k string, i int, v string, d int, hr double"), ["k"], ["i"], "v", "d", "hr", 2).first()
