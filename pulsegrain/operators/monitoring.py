@@ -164,12 +164,17 @@ def half_minute_rates(intervals: DataFrame, keys: list[str], order: list[str], i
     """Beats a minute of every whole half minute with two beats or more, from intervals in milliseconds.
 
     The first beat is at 0, each further one where its interval ends; later than the recording none counts.
+    Intervals add up exactly, to the picosecond: a beat at the turn of a half minute belongs to the next one.
     """
     w = line(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    good = intervals.where(F.col(interval) > 0)
-    later = good.select(*keys, (F.sum(F.col(interval) / 1000).over(w)).alias("at"), F.col(seconds).alias("_end"))
-    beats = later.unionByName(good.groupBy(*keys).agg(F.first(seconds).alias("_end")).select(*keys, F.lit(0.0).alias("at"), "_end")).where(F.col("at") < F.col("_end"))
-    counted = beats.withColumn("half_minute", F.floor(F.col("at") / width)).groupBy(*keys, "half_minute", "_end").agg(F.count(F.lit(1)).alias("_n"))
+    exact = f"try_cast(`{interval}` AS DECIMAL(28, 9))"
+    good = intervals.where(F.col(interval) > 0).withColumn("_known", F.expr(exact).isNotNull()).withColumn("_ms", F.expr(exact))
+    # a beat after an interval without end is after any recording
+    later = good.select(*keys, F.sum("_ms").over(w).alias("at"), F.min("_known").over(w).alias("_known"), F.col(seconds).alias("_end")).where("_known").drop("_known")
+    first = good.groupBy(*keys).agg(F.first(seconds).alias("_end")).select(*keys, F.lit(0).cast(later.schema["at"].dataType).alias("at"), "_end")
+    end = F.expr("try_cast(_end * 1000 AS DECIMAL(38, 9))")
+    beats = later.unionByName(first).where(F.when(end.isNotNull(), F.col("at") < end).otherwise(F.col("_end") > 0))
+    counted = beats.withColumn("half_minute", F.expr(f"at div {width * 1000:.9f}BD")).groupBy(*keys, "half_minute", "_end").agg(F.count(F.lit(1)).alias("_n"))
     whole = (F.col("half_minute") + 1) * width <= F.col("_end") + 1e-9
     return counted.where(whole & (F.col("_n") >= 2)).select(*keys, "half_minute", (F.col("_n") / width * 60.0).alias("bpm"))
 

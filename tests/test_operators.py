@@ -18,6 +18,7 @@ from pulsegrain.operators import annotations as an
 from pulsegrain.operators import drift as dr
 from pulsegrain.operators import evaluate as ev
 from pulsegrain.operators import intervals as iv
+from pulsegrain.operators import monitoring as mo
 from pulsegrain.operators import rules as rl
 from pulsegrain.operators import sampling as sm
 from pulsegrain.operators import sequence as seq
@@ -108,6 +109,16 @@ def test_ema_skips_far_values(spark):
     assert seq.ema_skip(df, ["k"], ["i"], "hr").first()["baseline"] == 70.2
 
 
+def test_half_minutes_add_up_exactly(spark):
+    """The 600th beat ends at 60 s to the digit, where a sum of doubles stays below."""
+    rr = [100.1] * 599 + [60_000 - 59_959.9] + [500.0] * 100
+    assert sum(x / 1000 for x in rr[:600]) != 60.0
+    rows = [("a", i, x, 95.0) for i, x in enumerate(rr)] + [("b", i, 1000.0, 40.0) for i in range(60)] + [("c", 0, 10_000.0, float("inf")), ("c", 1, float("inf"), float("inf"))]
+    found = mo.half_minute_rates(spark.createDataFrame(rows, "k string, i int, rr double, s double"), ["k"], ["i"], "rr", "s")
+    got = {(r["k"], r["half_minute"]): r["bpm"] for r in found.collect()}
+    assert got == {("a", 0): 600.0, ("a", 1): 600.0, ("a", 2): 120.0, ("b", 0): 60.0, ("c", 0): 4.0}
+
+
 def test_ema_rounds_the_double(spark):
     """104.1 then 95.1 steps to 103.64999999999999, which rounds as scaling by ten does; so for a grid of starts and steps."""
     cases = [(f"{a}-{b}", i, v / 100) for a in range(10000, 10500, 10) for b in range(a - 1500, a + 1501, 100) for i, v in enumerate((a, b))]
