@@ -42,6 +42,7 @@ UNI, BI = 0, 1
 ALPHA = 0.1
 PACK_ROWS = 5000  #: documents whose n-grams are combined before they are shuffled
 CHUNK_BYTES = 1 << 21  #: text whose n-grams are probed together where the filter is not broadcast
+PROBE_KEYS = 1 << 20  #: n-grams that a slice is asked for at once
 BUCKET_BYTES = 1 << 22  #: text whose n-grams a bucket holds
 
 
@@ -207,20 +208,39 @@ def ask_levels(docs: DataFrame, buckets: int, id_column: str, text_column: str)
     return written(map_batches(numbered, ["_row", id_column, text_column], f"chunk long, _row long, {id_column} {kind}, {text_column} string, kind int, bucket int, h binary", ask), "lm-asked")
 
 
+def probe_slice(table: pa.Table, whole: Filter) -> pa.Table:
+    """The levels of a bucket's n-grams for each chunk that asks (c is null), from the bucket's counts (c is not).
+
+    All chunks are probed together, at most PROBE_KEYS keys at once: a chunk has few n-grams in a bucket,
+    and one call for each would cost more than its keys.
+    """
+    held, asks = table.filter(pc.is_valid(table.column("c"))), table.filter(pc.is_null(table.column("c")))
+    grams = [(k.as_py(), np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)) for k, h, c in zip(held.column("kind"), held.column("h"), held.column("c"), strict=True)]
+    part = Filter(1, whole.slice_bits, np.frombuffer(whole.build(grams), np.uint8))
+    out = []
+    for kind in (UNI, BI):
+        own = asks.filter(pc.equal(asks.column("kind"), kind))
+        keys = np.concatenate([_values(x) for x in own.column("h").chunks] or [np.zeros(0, np.uint64)])
+        found = np.concatenate([part.levels(keys[at : at + PROBE_KEYS], kind).astype(np.uint8) for at in range(0, len(keys), PROBE_KEYS)] or [np.zeros(0, np.uint8)])
+        ends = np.cumsum(np.r_[0, pc.binary_length(own.column("h")).to_numpy() // 8]).astype(np.int32)
+        levels = pa.Array.from_buffers(pa.binary(), own.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(found)])
+        out.append(own.select(["chunk", "kind", "bucket"]).append_column("levels", levels))
+    return pa.concat_tables(out)
+
+
+def _values(h: pa.BinaryArray) -> np.ndarray:
+    """The hashes of all rows, one after the other."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(h.buffers()[1], np.int32)[h.offset : h.offset + len(h) + 1]
+    return np.frombuffer(h.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64)
+
+
 def join_levels(asked: DataFrame, counted: DataFrame, whole: Filter) -> DataFrame:
     """(chunk, kind, bucket, levels): a byte for each n-gram asked, from the slice that its bucket fills."""
 
     def probe(table: pa.Table) -> pa.Table:
-        grams, asks = [], []
-        for chunk, kind, bucket, h, c in zip(*(table.column(k) for k in ("chunk", "kind", "bucket", "h", "c")), strict=True):
-            keys = np.frombuffer(h.as_buffer(), np.uint64)
-            if c.is_valid:
-                grams.append((kind.as_py(), keys, np.frombuffer(c.as_buffer(), np.int64)))
-            else:
-                asks.append((chunk.as_py(), kind.as_py(), bucket.as_py(), keys))
-        part = Filter(1, whole.slice_bits, np.frombuffer(whole.build(grams), np.uint8))
-        found = [part.levels(keys, kind).astype(np.uint8).tobytes() for _, kind, _, keys in asks]
-        return pa.table({"chunk": pa.array([a[0] for a in asks], pa.int64()), "kind": pa.array([a[1] for a in asks], pa.int32()), "bucket": pa.array([a[2] for a in asks], pa.int32()), "levels": pa.array(found, pa.binary())})
+        return probe_slice(table, whole)
 
     asks = asked.where(F.col("kind").isNotNull()).select("chunk", "kind", "bucket", "h", F.lit(None).cast("binary").alias("c"))
     sides = asks.unionByName(counted.select(F.lit(None).cast("long").alias("chunk"), "kind", "bucket", "h", "c"))

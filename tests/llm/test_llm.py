@@ -700,6 +700,25 @@ def test_language_model_scores_do_not_depend_on_what_is_broadcast(spark, docs):
     assert take(max_bytes=1 << 10) == take()
 
 
+def test_a_slice_is_probed_in_few_calls(monkeypatch):
+    """However many chunks ask it; each gets the levels that it would get alone."""
+    keys = textkit.stream(4, 3000)
+    held = [(kind, keys[kind::2], np.arange(1, 1501)) for kind in (0, 1)]
+    asks = [(chunk, kind, keys[chunk : chunk + 40]) for chunk in range(400) for kind in (1, 0)] + [(400, 0, keys[:0])]
+    rows = [(None, k, h.tobytes(), c.tobytes()) for k, h, c in held] + [(chunk, kind, h.tobytes(), None) for chunk, kind, h in asks]
+    columns = zip(*[(chunk, kind, 7, h, c) for chunk, kind, h, c in rows], strict=True)
+    types = {"chunk": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "h": pa.binary(), "c": pa.binary()}
+    asked = pa.table({n: pa.array(x, t) for (n, t), x in zip(types.items(), columns, strict=True)})
+    alone = bloom_lm.Filter(1, 1 << 17)
+    alone.bits = np.frombuffer(alone.build(held), np.uint8)
+    want = {(chunk, kind): alone.levels(h, kind).astype(np.uint8).tobytes() for chunk, kind, h in asks}
+    calls, levels = [], bloom_lm.Filter.levels
+    monkeypatch.setattr(bloom_lm.Filter, "levels", lambda self, h, kind: calls.append(kind) or levels(self, h, kind))
+    found = bloom_lm.probe_slice(pa.concat_tables([asked.slice(0, 300), asked.slice(300)]), bloom_lm.Filter(1, 1 << 17))
+    assert {(r["chunk"], r["kind"]): r["levels"] for r in found.to_pylist()} == want and found.num_rows == len(asks)
+    assert sorted(calls) == [0, 1]
+
+
 def test_language_model_of_nothing(empty):
     assert bloom_lm.score(empty).count() == 0
 
